@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, quality, urls
+from . import licenses, pii, quality, urls
 from .tables import table
 
 
+def op1_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -20,6 +24,6 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op7_license_scan, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_url_filter, op7_license_scan, op9_quality_classifier)}
 
 ORACLE_SQL: dict[str, str] = {}
