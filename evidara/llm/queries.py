@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, pii, quality, urls
+from . import licenses, neardup, pii, quality, urls
 from .tables import table
 
 
@@ -24,6 +24,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_url_filter, op7_license_scan, op9_quality_classifier)}
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_url_filter, op7_license_scan, op9_quality_classifier, op10_minhash_neardup)}
 
 ORACLE_SQL: dict[str, str] = {}
