@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, neardup, pii, quality, urls
+from . import lattice, licenses, neardup, pii, quality, urls
 from .tables import table
 
 
@@ -28,6 +28,10 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_url_filter, op7_license_scan, op9_quality_classifier, op10_minhash_neardup)}
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_url_filter, op4_lattice_lm, op7_license_scan, op9_quality_classifier, op10_minhash_neardup)}
 
 ORACLE_SQL: dict[str, str] = {}
