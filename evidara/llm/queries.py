@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice, licenses, neardup, pii, quality, urls
+from . import embeddings, lattice, licenses, neardup, pii, quality, urls
 from .tables import table
 
 
@@ -12,6 +12,10 @@ def op1_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.groups(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
@@ -32,6 +36,6 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op3_url_filter, op4_lattice_lm, op7_license_scan, op9_quality_classifier, op10_minhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_embedding_neardup, op3_url_filter, op4_lattice_lm, op7_license_scan, op9_quality_classifier, op10_minhash_neardup)}
 
 ORACLE_SQL: dict[str, str] = {}
