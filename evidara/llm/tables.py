@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +24,10 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left and the other columns of right, where the keys are equal or both null."""
+    other = {k: f"{k}__right" for k in keys}
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in other.items()])
+    return left.join(right.withColumnsRenamed(other), on, how).drop(*other.values())
