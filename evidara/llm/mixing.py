@@ -18,10 +18,10 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, null_safe_join
+from .tables import cut, null_safe_join, running
 
 CAP = 3
 MICRO = 1_000_000
@@ -35,22 +35,6 @@ def size_of(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_BREAK), "")).cast("long")
 
 
-def running(df: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
-    """df with `name`, the exact sum of the long `value` over the rows of the group up to and with each row.
-
-    Rows are dealt out by ranges of the order (which must begin with the group and tell rows apart
-    well), summed within a partition, and lifted by the totals of earlier partitions, of which there
-    is one row for each partition and group.
-    """
-    dealt = cut(df.withColumn("value_", value).repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
-    totals = dealt.groupBy("part_", *group).agg(F.sum("value_").alias("total_"))
-    before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
-    lifted = totals.withColumn("before_", F.coalesce(F.sum("total_").over(before), F.lit(0))).drop("total_")
-    within = Window.partitionBy("part_", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = dealt.withColumn("within_", F.sum("value_").over(within))
-    return null_safe_join(summed, lifted, ["part_", *group]).select(*df.columns, (F.col("within_") + F.col("before_")).alias(name))
-
-
 def targets(sized: DataFrame) -> DataFrame:
     """source, source_size, target: all sizes shared by weights 1, 2, 3, repeating, no target above CAP times its source."""
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, lattice, licenses, mixing, neardup, pii, quality, urls
+from . import decontaminate, embeddings, lattice, licenses, linededup, mixing, neardup, pii, quality, urls
 from .tables import table
 
 
@@ -24,6 +24,10 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_embedding_neardup, op3_url_filter, op4_lattice_lm, op5_source_mixing, op7_license_scan, op8_decontaminate, op9_quality_classifier, op10_minhash_neardup)}
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_embedding_neardup, op3_url_filter, op4_lattice_lm, op5_source_mixing, op6_line_dedup, op7_license_scan, op8_decontaminate, op9_quality_classifier, op10_minhash_neardup)}
 
 ORACLE_SQL: dict[str, str] = {}
