@@ -102,20 +102,16 @@ def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return merged.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
 
 
-def _marked(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """docs with `key_` and `removed_`."""
-    removed = removed.select(F.col("doc_id").alias("doc_"), F.col("key").alias("key_"), F.col("removed").alias("removed_"))
-    return docs.join(removed, F.col("doc_id").eqNullSafe(F.col("doc_")) & (F.xxhash64("text") == F.col("key_")), "left").drop("doc_")
-
-
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with every column, and text without the lines that are deleted; documents that lose all their lines go."""
-    marked = _marked(docs, deletions(docs.select("doc_id", "text"), min_words))
-    inside = lambda i: F.exists("removed_", lambda r: (r["start"] <= i) & (i < r["end"]))
-    kept = F.filter(_lines(F.col("text")), lambda _, i: ~inside(i))
-    out = marked.withColumn("kept_", F.when(F.col("removed_").isNotNull(), kept)).where(F.col("kept_").isNull() | (F.size("kept_") > 0))
-    text = F.when(F.col("kept_").isNotNull(), F.array_join("kept_", "\n")).otherwise(F.col("text"))
-    return out.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    removed = deletions(docs.select("doc_id", "text"), min_words)
+    # the whole row is one column beside the join's, so no extra column can clash
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("key"))
+    inside = lambda i: F.exists("removed", lambda r: (r["start"] <= i) & (i < r["end"]))
+    kept = F.filter(_lines(F.col("row.text")), lambda _, i: ~inside(i))
+    out = null_safe_join(rows, removed, DOC, "left").select("row", F.when(F.col("removed").isNotNull(), kept).alias("kept")).where(F.col("kept").isNull() | (F.size("kept") > 0))
+    text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text"))
+    return out.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame) -> DataFrame:

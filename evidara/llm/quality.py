@@ -13,6 +13,7 @@ Extra columns are ignored, repeated rows are scored each on its own, an empty ta
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -153,9 +154,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | float:
     return fit(np.concatenate(bags), np.concatenate([[0], np.cumsum([len(x) for x in bags])]), y[order])
 
 
-def scored(docs: DataFrame, model: Model | float) -> DataFrame:
-    """All columns of docs and `score`, the probability of label 1. `docs` must not have a column score yet."""
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+def scored(docs: DataFrame, model: Model | float, name: str = "score") -> DataFrame:
+    """All columns of docs and, under a name that they don't have yet, the probability of label 1."""
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -165,11 +166,17 @@ def scored(docs: DataFrame, model: Model | float) -> DataFrame:
                 for lo, hi, data, off in text_slices(b.column("text")):
                     x, begin = passages(data, off, hasher)
                     out[lo:hi] = model.forward(x, begin)["y"]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, name])
 
     return docs.mapInArrow(score, schema)
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that the classifier does not reject."""
+    name = next(n for n in (f"score_{k}" for k in itertools.count()) if n not in docs.columns)
+    return scored(docs, train(docs, labels), name).where(F.col(name) >= THRESHOLD).select(*docs.columns)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     wanted = docs.select("doc_id", "text")
