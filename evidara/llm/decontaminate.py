@@ -19,7 +19,7 @@ null; extra columns are ignored; an empty table on either side gives no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -49,16 +49,25 @@ def window_of(length: int) -> int:
     return best
 
 
-def fingerprints(total: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
-    """SimHashes of the windows that begin at `at`; total[i] has the sums of the first i words' bits."""
-    return np.packbits(2 * (total[at + window] - total[at]) > window, axis=1).view(np.uint64).ravel()
+class BitSums:
+    """Sums of the words' hash bits over runs of 2^k words, from which those of any window are put together."""
 
+    def __init__(self, h: np.ndarray, longest: int) -> None:
+        kind = np.uint8 if longest < 256 else np.uint32
+        self.runs = [np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(kind, copy=False)]
+        while 2 << len(self.runs) - 1 <= longest:
+            last, half = self.runs[-1], 1 << len(self.runs) - 1
+            self.runs.append(last[:-half] + last[half:] if len(last) > half else last[:0])
 
-def bit_sums(h: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(h) + 1, BITS), np.int32)
-    if len(h):
-        np.cumsum(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.int32, out=total[1:])
-    return total
+    def fingerprints(self, at: np.ndarray, window: int) -> np.ndarray:
+        """SimHashes of the windows that begin at `at`: the majority of each bit."""
+        total, place = None, at
+        for k in range(window.bit_length() - 1, -1, -1):
+            if window >> k & 1:
+                part = self.runs[k][place]
+                total = part if total is None else np.add(total, part, out=total)
+                place = place + (1 << k)
+        return np.packbits(total > window // 2, axis=1).view(np.uint64).ravel()
 
 
 class Index:
@@ -67,22 +76,21 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         hasher = Hasher()
         self.ids = [i for i, _ in items]
-        self.shingles: list[Counter] = []
+        self.shingles: list[tuple[np.ndarray, np.ndarray]] = []  # distinct ones in order, and how often each
         self.lengths: list[int] = []
         entries: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for k, (_, text) in enumerate(items):
             data = lowered(np.frombuffer((text or "").encode(), np.uint8))
             starts, ends, first = words(data, np.array([0, len(data)]), NOT_SPACE)
             h = hasher.of(data, starts, ends)
-            self.shingles.append(Counter(shingles(h, first, SHINGLE)[0].tolist()))
+            self.shingles.append(np.unique(shingles(h, first, SHINGLE)[0], return_counts=True))
             self.lengths.append(len(h))
             if len(h):
                 w = window_of(len(h))
                 at = np.arange(len(h) - w + 1)
-                entries[w] += [(f, k, o) for f, o in zip(fingerprints(bit_sums(h), at, w).tolist(), at.tolist(), strict=True)]
-        holders = Counter(s for c in self.shingles for s in c)
-        self.weight = {s: math.log(1 + len(items) / n) for s, n in holders.items()}
-        self.unseen = math.log(1 + len(items))
+                entries[w] += [(f, k, o) for f, o in zip(BitSums(h, w).fingerprints(at, w).tolist(), at.tolist(), strict=True)]
+        self.known, holders = np.unique(np.concatenate([s for s, _ in self.shingles]), return_counts=True)
+        self.known_weight, self.unseen = np.log(1 + len(items) / holders), math.log(1 + len(items))
         self.tables = {}
         for w, rows in entries.items():
             prints = np.array([r[0] for r in rows], np.uint64)
@@ -101,7 +109,7 @@ class Index:
         found: set[tuple[int, int, int]] = set()
         if not len(h):
             return found
-        total, n = bit_sums(h), np.diff(first)
+        total, n = BitSums(h, max(self.tables, default=1)), np.diff(first)
         for w, (prints, who, parts) in self.tables.items():
             step = stride(w)
             count = np.where(n >= w, (n - w) // step + 1, 0)
@@ -110,7 +118,7 @@ class Index:
             begin = np.cumsum(count) - count
             row = np.repeat(np.arange(len(n)), count)
             place = (np.arange(count.sum()) - begin[row]) * step
-            f = fingerprints(total, first[row] + place, w)
+            f = total.fingerprints(first[row] + place, w)
             for p, (lists, entry) in enumerate(parts):
                 v = ((f >> np.uint64(16 * p)) & np.uint64(0xFFFF)).astype(np.int64)
                 size = lists[v + 1] - lists[v]
@@ -125,11 +133,18 @@ class Index:
                 found.update(zip(row[window].tolist(), who[e, 0].tolist(), (place[window] - who[e, 1]).tolist(), strict=True))
         return found
 
-    def similarity(self, item: int, window: Counter) -> float:
-        theirs = self.shingles[item]
-        weight = lambda s: self.weight.get(s, self.unseen)
-        both = sum(weight(s) * min(n, window[s]) for s, n in theirs.items())
-        return both / (sum(weight(s) * n for s, n in theirs.items()) + sum(weight(s) * n for s, n in window.items()) - both)
+    def weights(self, s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
+        return np.where(self.known[at] == s, self.known_weight[at], self.unseen)
+
+    def similarity(self, item: int, window: np.ndarray) -> float:
+        """Weighted Jaccard similarity of the item's shingles and a window's, repeats counted."""
+        mine, n = self.shingles[item]
+        theirs, m = np.unique(window, return_counts=True)
+        at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+        weight = self.weights(mine)
+        both = float((weight * np.where(theirs[at] == mine, np.minimum(n, m[at]), 0)).sum()) if len(theirs) else 0.0
+        return both / (float((weight * n).sum()) + float((self.weights(theirs) * m).sum()) - both)
 
     def matches(self, data: np.ndarray, off: np.ndarray, hasher: Hasher) -> list[tuple[int, int, float, int, int]]:
         """(row, item's place, similarity, first word, word after the last) of the best window for each row and item that reaches SIMILARITY."""
@@ -137,12 +152,15 @@ class Index:
         starts, ends, first = words(low, off, NOT_SPACE)
         h = hasher.of(low, starts, ends)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
+        of_row, made = -1, np.zeros(0, np.uint64)
         for row, item, place in sorted(self.candidates(h, first)):
-            lo, hi = first[row] + max(0, place), min(first[row + 1], first[row] + place + self.lengths[item])
-            window, _ = shingles(h[lo:hi], np.array([0, hi - lo]), SHINGLE)
-            alike = self.similarity(item, Counter(window.tolist()))
+            if row != of_row:
+                of_row, (made, _) = row, shingles(h[first[row] : first[row + 1]], np.array([0, first[row + 1] - first[row]]), SHINGLE)
+            lo, hi = max(0, place), min(int(first[row + 1] - first[row]), place + self.lengths[item])
+            window = made[lo : hi - SHINGLE + 1] if hi - lo >= SHINGLE else shingles(h[first[row] + lo : first[row] + hi], np.array([0, hi - lo]), SHINGLE)[0]
+            alike = self.similarity(item, window)
             if alike >= SIMILARITY and alike > best.get((row, item), (0.0,))[0]:
-                best[row, item] = (alike, int(lo - first[row]), int(hi - first[row]))
+                best[row, item] = (alike, lo, hi)
         return [(r, i, *v) for (r, i), v in best.items()]
 
 

@@ -8,11 +8,17 @@ probability below 1e-5, at 0.9 below 1e-13. For a candidate pair the likelihood
 registers of one are above, below or equal to the other's gives an estimate of its similarity; only
 pairs clearly below the threshold are left out by it, the rest are verified on the full sets.
 
-Exact copies of a set are one class from the start. Classes that share a band value are not paired
-with each other: each such bucket proposes its centre against the members of other components, a
-few rounds long, and after that only members outside a bucket's largest component meet its others.
-So a group of k copies costs k pairs a round and not k * k, and still no link between different
-components is lost: every pair of one bucket that is left out is joined by a path of verified links.
+Exact copies of a set are one class from the start. Of the classes that share a bucket, `own` counts
+the shingles that no other such class has: what two classes have in common is at most the smaller
+of their sizes without their own shingles, which bounds their similarity from above and rules out,
+without loss, most pairs that only share a frequent passage. Classes of one bucket are not paired
+with each other: the bucket's centre meets the members of other components, a few rounds long (first
+the class that shares buckets most often, so that edited copies meet their original). What is then
+left in a bucket with several components is compared pair by pair across them: in small buckets by a
+join, in large ones in tiles of TILE classes that return links only, each pair in its first common
+bucket. So a group of k copies costs k pairs a round, no table of its pairs is ever made, and still
+no link between different components is lost: every pair of one bucket that is left out is joined
+by a path of verified links or ruled out by the bound.
 
 Defined cases: texts without words (null, empty) have an empty set and link with nothing; exact
 duplicates of a row (same doc_id too) are one node; a null doc_id is linked with nothing and keeps
@@ -36,7 +42,11 @@ ROWS, BANDS = 6, 40
 REGISTERS = ROWS * BANDS
 BASE, LIMIT = 1.01, 4000
 #: Rounds of centres before the rest is compared outright.
-ROUNDS = 3
+ROUNDS = 2
+#: So many pairs at most count as few.
+FEW = 20_000
+#: Members of a bucket whose pairs are joined, and of a tile of larger ones.
+SMALL, TILE = 16, 1_000
 #: Standard errors of the estimate below the threshold at which a pair is left out.
 SLACK = 7.0
 
@@ -128,9 +138,6 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def _verify(percent: int):
-    least = percent / 100
-    floor = least - SLACK * np.sqrt(least * (1 - least) / REGISTERS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = {n: b.column(n) for n in b.schema.names}
@@ -138,11 +145,8 @@ def _verify(percent: int):
             size = lambda n: np.fromiter((len(x) // 8 for x in c[n].to_pylist()), float, b.num_rows)
             ok = np.zeros(b.num_rows, bool)
             if b.num_rows:
-                for i in np.flatnonzero(estimate(reg("ra"), reg("rb"), size("sa"), size("sb")) >= floor):
-                    x, y = (np.frombuffer(c[n][int(i)].as_buffer(), np.uint64) for n in ("sa", "sb"))
-                    if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        ok[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                for i in np.flatnonzero(estimate(reg("ra"), reg("rb"), size("sa"), size("sb")) >= _least(percent)):
+                    ok[i] = _similar(*(np.frombuffer(c[n][int(i)].as_buffer(), np.uint64) for n in ("sa", "sb")), percent)
             yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(ok)), c["b"].filter(pa.array(ok))], ["a", "b"])
 
     return run
@@ -150,60 +154,150 @@ def _verify(percent: int):
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose sets are similar enough; pairs hold each (a, b) once, sets(class, shingles, registers) each class once."""
+    pairs = cut(pairs)
+    n = pairs.count()
+    if n <= FEW:  # then so few classes that they may be sent to all tasks, and the other sets stay where they are
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        sets = cut(sets.join(F.broadcast(wanted), "class", "left_semi"))
     side = lambda k: sets.select(F.col("class").alias(k), F.col("shingles").alias(f"s{k}"), F.col("registers").alias(f"r{k}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "ra", "rb").mapInArrow(_verify(percent), "a long, b long")
 
 
+def band_keys(r: np.ndarray) -> np.ndarray:
+    """A key for each band of each sketch, of the band's number and its registers."""
+    r = r.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(48), r.shape[:2])
+    for k in range(ROWS):
+        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + r[:, :, k])
+    return key
+
+
 def band_values(classes: DataFrame) -> DataFrame:
-    """(key, class): one row for each class and band; the key mixes the band's number and its registers."""
+    """(key, band, class): one row for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            r = np.frombuffer(b"".join(b.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(48), r.shape[:2])
-            for k in range(ROWS):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + r[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(b.column("class").to_numpy(), BANDS))], ["key", "class"])
+            key = band_keys(np.frombuffer(b"".join(b.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(key))), pa.array(np.repeat(b.column("class").to_numpy(), BANDS))], ["key", "band", "class"])
+
+    return classes.select("class", "registers").mapInArrow(run, "key long, band int, class long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _least(percent: int) -> float:
+    """Estimates below this are left out."""
+    return percent / 100 - SLACK * float(np.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS))
+
+
+def _tile(percent: int):
+    """Links between the components of one tile of a bucket; those that an earlier link of the tile implies are left out."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        name, component, home = tile["class"].to_numpy(), tile["component"].to_numpy(), tile["side"].to_numpy() == 0
+        n, rest = tile["size"].to_numpy().astype(float), (tile["size"].to_numpy() - tile["own"].to_numpy()).astype(float)
+        reg = np.frombuffer(b"".join(tile["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(x, np.uint64) for x in tile["shingles"].to_pylist()]
+        inner, band = tile["ti"][0].as_py() == tile["tj"][0].as_py(), tile["band"][0].as_py()
+        a, b = np.flatnonzero(home), np.arange(len(name)) if inner else np.flatnonzero(~home)
+        keys = band_keys(reg)
+        common = np.minimum(rest[a][:, None], rest[b][None])
+        meet = (component[a][:, None] != component[b][None]) & (100 * common >= percent * (n[a][:, None] + n[b][None] - common))
+        if inner:
+            meet &= a[:, None] < b[None]
+        for k in range(band):  # met in that bucket
+            meet &= keys[a, k][:, None] != keys[b, k][None]
+        head: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while head.get(c, c) != c:
+                c = head[c]
+            return c
+
+        found = []
+        i, j = np.nonzero(meet)
+        for lo in range(0, len(i), 4096):
+            x, y = a[i[lo : lo + 4096]], b[j[lo : lo + 4096]]
+            likely = estimate(reg[x], reg[y], n[x], n[y]) >= _least(percent)
+            for p, q in zip(x[likely].tolist(), y[likely].tolist(), strict=True):
+                s, t = top(int(component[p])), top(int(component[q]))
+                if s != t and _similar(sets[p], sets[q], percent):
+                    head[s] = t
+                    found.append((name[p], name[q]))
+        return pa.Table.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
 
-    return classes.select("class", "registers").mapInArrow(run, "key long, class long")
+def tiled(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components within large buckets; large(key, band, class, component, size, own, n)."""
+    large = large.withColumn("m", F.ceil(F.col("n") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("m")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("m") - 1)
+    tile = lambda i, j, side: F.struct(i.cast("int").alias("ti"), j.cast("int").alias("tj"), F.lit(side).alias("side"))
+    own = F.transform(F.filter(every, lambda j: j >= F.col("chunk")), lambda j: tile(F.col("chunk"), j, 0))
+    other = F.transform(F.filter(every, lambda i: i < F.col("chunk")), lambda i: tile(i, F.col("chunk"), 1))
+    placed = large.select("key", "band", "class", "component", "size", "own", F.inline(F.concat(own, other)))
+    return placed.join(sets, "class").groupBy("key", "ti", "tj").applyInArrow(_tile(percent), "a long, b long")
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        raw = b.column("shingles").to_pylist()
+        h = np.frombuffer(b"".join(raw), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(b.column("class").to_numpy(), [len(r) // 8 for r in raw]))], ["shingle", "class"])
+
+
+def _possible(percent: int, size: str, own: str, other_size: str, other_own: str):
+    """Whether two classes can reach the similarity: they share at most the smaller rest after their own shingles."""
+    common = F.least(F.col(size) - F.col(own), F.col(other_size) - F.col(other_own))
+    return 100 * common >= percent * (F.col(size) + F.col(other_size) - common)
 
 
 def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, component) over the classes that are linked with another one; classes(class, smallest, registers)."""
     keyed = band_values(classes)
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     buckets = cut(keyed.join(shared, "key"))
+    mates = buckets.groupBy("class").agg(F.sum("n").alias("mates"))
     # full sets are made again only for one document of each class that shares a bucket
-    wanted = classes.join(buckets.select("class").distinct(), "class")
+    wanted = classes.join(mates.select("class"), "class")
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("smallest").alias("doc_id")), "doc_id", "left_semi")
     made = texts.select("text").mapInArrow(_sets(size), "class long, shingles binary")
     sets = cut(wanted.join(made, "class").select("class", "shingles", "registers").dropDuplicates(["class"]))
-    spark = classes.sparkSession
-    edges = spark.createDataFrame([], "a long, b long")
-    labelled = buckets.withColumn("component", F.col("class"))
+    alone = sets.select("class", "shingles").mapInArrow(_exploded, "shingle long, class long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+    own = alone.groupBy("class").agg(F.count("*").alias("own"))
+    sizes = sets.select("class", (F.length("shingles") / 8).cast("long").alias("size")).join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    able = cut(sizes.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")))
+    labelled = buckets.select("key", "band", "class").join(able.join(mates, "class"), "class").withColumn("component", F.col("class"))
+    edges = classes.sparkSession.createDataFrame([], "a long, b long")
     for number in range(ROUNDS + 1):
         if number:
-            found = components(edges).select(F.col("node").alias("class"), F.col("component"))
-            labelled = buckets.join(found, "class", "left").select("key", "class", F.coalesce("component", "class").alias("component"))
-            # a bucket of one component has nothing left to say
-            mixed_keys = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
-            labelled = cut(labelled.join(mixed_keys, "key"))
-            buckets = labelled.select("key", "class")
-            if labelled.isEmpty():
-                break
-        if number < ROUNDS:
-            order = F.xxhash64("class", F.lit(number))
-            centre = labelled.groupBy("key").agg(F.min_by(F.struct("class", "component"), F.struct(order, "class")).alias("c"))
-            meet = labelled.join(centre, "key").where(F.col("component") != F.col("c.component")).select("class", F.col("c.class").alias("other"))
+            found = components(edges).select(F.col("node").alias("class"), F.col("component").alias("now"))
+            labelled = labelled.join(found, "class", "left").withColumn("component", F.coalesce("now", "class")).drop("now")
+        # a bucket of one component has nothing left to say
+        several = labelled.groupBy("key").agg((F.min("component") != F.max("component")).alias("open")).where("open").select("key")
+        labelled = cut(labelled.join(several, "key"))
+        if labelled.isEmpty():
+            break
+        last = number == ROUNDS
+        if last:
+            sized = labelled.join(labelled.groupBy("key").agg(F.count("*").alias("n")), "key")
+            few = sized.where(F.col("n") <= SMALL)
+            other = few
         else:
-            size = labelled.groupBy("key", "component").agg(F.count("*").alias("n"))
-            largest = size.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-            outside = labelled.join(largest, "key").where("component <> largest").select("key", F.col("class").alias("other"), F.col("component").alias("theirs"))
-            meet = labelled.join(outside, "key").where("component <> theirs").select("class", "other")
+            order = F.struct(-F.col("mates") if not number else F.lit(0), F.xxhash64("class", F.lit(number)), "class")
+            few = labelled
+            other = labelled.groupBy("key").agg(F.min_by(F.struct("class", "size", "own", "component"), order).alias("c")).select("key", "c.*")
+        other = other.select(F.col("key").alias("key_"), F.col("class").alias("other"), F.col("size").alias("size_"), F.col("own").alias("own_"), F.col("component").alias("component_"))
+        meet = few.join(other, (F.col("key") == F.col("key_")) & (F.col("component") != F.col("component_")) & _possible(percent, "size", "own", "size_", "own_"))
         pairs = meet.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-        edges = cut(edges.union(linked(pairs, sets, percent)))
+        more = linked(pairs, sets, percent)
+        if last:
+            more = more.union(tiled(sized.where(F.col("n") > SMALL), sets, percent))
+        edges = cut(edges.union(more))
     return components(edges)
 
 
@@ -220,3 +314,9 @@ def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
     out = rows.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+
+
+def kept(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The rows of docs, all columns, without the documents that are not their group's first."""
+    later = groups(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
