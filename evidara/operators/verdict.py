@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def in_band(value: Column) -> Column:
+    """Whether the half-open band [lo, hi) holds the value; null bounds are open."""
+    return (F.col("lo").isNull() | (value >= F.col("lo"))) & (F.col("hi").isNull() | (value < F.col("hi")))
+
+
 def triggered(facts: DataFrame, rules: DataFrame) -> DataFrame:
-    """facts(case_id, impairment, value, ...) joined with the rules(rule_id, impairment, lo, hi, action, debit_pct) whose half-open band holds the value; null bounds are open."""
-    band = (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") < F.col("hi")))
-    return facts.join(rules.withColumnRenamed("impairment", "of"), (F.col("impairment") == F.col("of")) & band).drop("of")
+    """facts(case_id, impairment, value, ...) joined with the rules(rule_id, impairment, lo, hi, action, debit_pct) whose band holds the value."""
+    return facts.join(rules.withColumnRenamed("impairment", "of"), (F.col("impairment") == F.col("of")) & in_band(F.col("value"))).drop("of")
 
 
 def verdicts(cases: DataFrame, hits: DataFrame, unverified: DataFrame | None = None) -> DataFrame:
