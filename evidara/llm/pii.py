@@ -5,10 +5,13 @@ that stand near an entity may give it away: over all documents, with p the share
 PMI(entity, term) = log2 p(entity, term) / (p(entity) p(term)), and its ratio to the entity's own
 information -log2 p(entity) is how much of the entity the term discloses (1: the term never stands
 anywhere else). Terms at or above GENERALISE in at least MIN_SUPPORT documents are replaced by a
-mark, those at or above REMOVE are deleted.
+mark, those at or above REMOVE are deleted, wherever they stand: near the entity, away from it and in
+documents without it, but for places inside an entity.
 
 A pair (entity, term) is counted once a document, from a window of WINDOW words on each side, so
-the pairs grow with the entities' mentions and not with the square of anything.
+the pairs grow with the entities' mentions and not with the square of anything. A second pass over
+the texts finds the places: a bit table of fixed size lets all disclosing terms through and few
+others, and a join on the term settles it.
 
 Defined cases: null text counts as empty and has no spans; a null doc_id is kept; repeated rows are
 documents of their own (and support each other); extra columns are ignored; an empty table gives no
@@ -20,8 +23,10 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +38,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, REACH = 8, 240
 MIN_SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.95
 MIN_TERM = 3
+TABLE_BITS, BUCKET_BITS = 22, 15  # of the bit table, and of one row that Spark's bitmap functions give
+BROADCAST = 8 << 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -77,8 +84,8 @@ def entities(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def nearby(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms within the window of each entity and outside all entities."""
+def outside(found: dict[str, list[tuple[int, int]]]) -> Callable[[int, int], bool]:
+    """Whether a span lies outside all entities."""
     taken: list[list[int]] = []  # disjoint, in order
     for s, e in sorted(s for spans in found.values() for s in spans):
         if taken and s < taken[-1][1]:
@@ -86,70 +93,128 @@ def nearby(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[str
         else:
             taken.append([s, e])
     stops = [e for _, e in taken]
-    free = lambda s, e: (i := bisect_right(stops, s)) == len(taken) or taken[i][0] >= e
+    return lambda s, e: (i := bisect_right(stops, s)) == len(taken) or taken[i][0] >= e
+
+
+def lowered(text: str) -> str:
+    """A-Z lower-cased; no place moves."""
+    return text.encode().lower().decode()
+
+
+def nearby(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[str, str]]:
+    """(entity, term) of the terms within the window of each entity and outside all entities; a term that the reach cuts is taken whole."""
+    free = outside(found)
     out = []
     for kind, spans in found.items():
         for a, b in spans:
             entity = f"{kind}:{hashlib.md5(text[a:b].encode(errors='replace')).hexdigest()}"
             lo, hi = max(0, a - REACH), min(len(text), b + REACH)
-            before = [m.span() for m in TERM.finditer(text, lo, a) if m.start() > lo or lo == 0]
-            after = [m.span() for m in TERM.finditer(text, b, hi) if m.end() < hi or hi == len(text)]
+            while 0 < lo < a and TERM.match(text[lo - 1]):
+                lo -= 1
+            if hi < len(text) and TERM.match(text[hi - 1]) and (m := TERM.match(text, hi)):
+                hi = m.end()
+            before = [m.span() for m in TERM.finditer(text, lo, a)]
+            after = [m.span() for m in TERM.finditer(text, b, hi)]
             for s, e in before[-WINDOW:] + after[:WINDOW]:
                 if e - s >= MIN_TERM and free(s, e):
-                    out.append((entity, text[s:e].translate(LOWER), s, e))
+                    out.append((entity, text[s:e].translate(LOWER)))
     return out
 
 
-FOUND = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, near array<struct<entity:string,term:string,start:int,end:int>>"
-NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+def occurrences(text: str, found: dict[str, list[tuple[int, int]]], table: bytes) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the terms that the bit table lets through, outside all entities."""
+    low = lowered(text)
+    hits = set()
+    for t in set(TERM.findall(low)):
+        if len(t) >= MIN_TERM:
+            bit = crc32(t.encode()) & (1 << TABLE_BITS) - 1
+            if table[bit >> 3] >> (bit & 7) & 1:
+                hits.add(t)
+    if not hits:
+        return []
+    free = outside(found)
+    return [(m[0], *m.span()) for m in TERM.finditer(low) if m[0] in hits and free(*m.span())]
+
+
+FOUND = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, hits array<struct<term:string,start:int,end:int>>"
+NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
+HITS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """near, the distinct pairs of a row, for rows that have any."""
+    for b in batches:
+        near = []
+        for text in b.column("text"):
+            text = text.as_py() or ""
+            if any((found := entities(text)).values()) and (pairs := set(nearby(text, found))):
+                near.append([{"entity": n, "term": t} for n, t in pairs])
+        yield pa.RecordBatch.from_arrays([pa.array(near, NEAR)], ["near"])
 
 
-def _find(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch], keep_text: bool, table: bytes | None) -> Iterator[pa.RecordBatch]:
     for b in batches:
         counts: list[list[int]] = [[] for _ in KINDS]
-        base, near = [], []
+        base, hits = [], []
         for text in b.column("text"):
             text = text.as_py() or ""
             found = entities(text)
             for k, kind in enumerate(KINDS):
                 counts[k].append(len(found[kind]))
             base.append(",".join(f"{kind}:{s}:{e}" for kind in KINDS for s, e in found[kind]))
-            near.append([{"entity": n, "term": t, "start": s, "end": e} for n, t, s, e in nearby(text, found)] if base[-1] else [])
+            hits.append([{"term": t, "start": s, "end": e} for t, s, e in occurrences(text, found, table)] if table else [])
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(near, NEAR), *[b.column("text")] * keep_text],
-            ["doc_id", *(f"n_{k}" for k in KINDS), "base", "near", *["text"] * keep_text],
+            [b.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(base, pa.string()), pa.array(hits, HITS), *[b.column("text")] * keep_text],
+            ["doc_id", *(f"n_{k}" for k in KINDS), "base", "hits", *["text"] * keep_text],
         )
 
 
-def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """row, start, end, action for every occurrence near an entity of a term that discloses it.
+def disclosing(docs: DataFrame) -> DataFrame:
+    """term, action for every term that discloses an entity; the entity it discloses most decides.
 
     All counts are over all documents and are summed in the map tasks first, so neither a common
     word nor an entity that a third of the documents share meets in one task.
     """
-    seen = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*")
-    once = seen.select("row", "entity", "term").distinct()
+    # the row's key is fixed by writing it down
+    near = cut(docs.select("text").mapInArrow(_near, "near array<struct<entity:string,term:string>>").withColumn("row", F.monotonically_increasing_id()))
+    once = near.select(F.explode("near").alias("x"), "row").select("row", "x.*")
     pairs = once.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= MIN_SUPPORT)
-    holders = seen.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    holders = once.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     pairs = cut(pairs.join(holders, "entity"))
     term = F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), NOT_TERM)))
     frequency = docs.select(term.alias("term")).where(F.length("term") >= MIN_TERM).groupBy("term").agg(F.count("*").alias("with_term"))
-    n = found.count()
+    n = docs.count()
     frequency = frequency.join(pairs.select("term").distinct(), "term", "left_semi")
     pmi = F.log2(F.col("both") * F.lit(float(max(n, 1))) / (F.col("with_entity") * F.col("with_term")))
     own = F.log2(F.lit(float(max(n, 1))) / F.col("with_entity"))
-    ratio = pairs.join(frequency, "term").select("entity", "term", F.when(own > 0, pmi / own).alias("ratio")).where(F.col("ratio") >= GENERALISE)
-    return seen.join(ratio, ["entity", "term"]).groupBy("row", "start", "end").agg(F.when(F.max("ratio") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+    ratio = pairs.join(frequency, "term").select("term", F.when(own > 0, pmi / own).alias("ratio")).where(F.col("ratio") >= GENERALISE)
+    return ratio.groupBy("term").agg(F.when(F.max("ratio") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+
+
+def bit_table(terms: DataFrame) -> bytes | None:
+    """A table of 2^TABLE_BITS bits in which the bits of the terms' checksums are set; None without terms."""
+    bit = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(1 << TABLE_BITS)) + 1  # Spark numbers buckets from 1
+    rows = terms.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    table = np.zeros((1 << TABLE_BITS - BUCKET_BITS, 1 << BUCKET_BITS - 3), np.uint8)
+    for r in rows:
+        table[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return table.tobytes() if rows else None
 
 
 def find(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """row (a key of the input row), doc_id, n_<kind>, base (kind:start:end, comma-joined), near, terms (array of start, end, action), and text if kept."""
+    """row (a key of the input row), doc_id, n_<kind>, base (kind:start:end, comma-joined), terms (array of start, end, action), and text if kept."""
     docs = docs.select("doc_id", "text")
+    actions = cut(disclosing(docs))
+    table = bit_table(actions)
     # the row's key is fixed by writing it down
-    found = cut(docs.mapInArrow(lambda batches: _find(batches, keep_text), FOUND + ", text string" * keep_text).withColumn("row", F.monotonically_increasing_id()))
-    # a window is bounded, but a document isn't: its terms are as many as its entities' windows hold
-    terms = disclosing(found, docs).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
-    return found.join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")))
+    found = cut(docs.mapInArrow(lambda batches: _find(batches, keep_text, table), FOUND + ", text string" * keep_text).withColumn("row", F.monotonically_increasing_id()))
+    # a term may stand in a third of the documents: short lists are joined without dealing by term
+    if (actions.agg(F.sum(F.octet_length("term") + 32).alias("n")).first()["n"] or 0) <= BROADCAST:
+        actions = F.broadcast(actions)
+    places = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*").join(actions, "term")
+    # a document's terms are as many as it has words
+    terms = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
+    return found.drop("hits").join(terms, "row", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,action:string>>")))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

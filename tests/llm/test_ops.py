@@ -75,6 +75,19 @@ def test_pii_terms_that_disclose_go(spark):
     assert got[12]["text"] == rows[7][1]
 
 
+def test_pii_terms_that_disclose_go_wherever_they_stand(spark):
+    long, far = "z" * 300, "word " * 30
+    rows = [(i, f"ask {long} Quillon at bob@corp.example.com about it {i} {far}then QUILLON came") for i in range(5)]
+    rows += [(10, "QUILLON alone, Quillons not"), (11, "Quillon@other.example.org"), (12, None)] + [(20 + i, f"nothing about this at all {i} {far}then came") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(pii.sanitise(docs))
+    assert all("quillon" not in got[i]["text"].lower() and long[:9] not in got[i]["text"] and "then" in got[i]["text"] for i in range(5))
+    assert got[10]["text"] == "[TERM] alone, Quillons not" and got[11]["text"] == "[EMAIL]" and got[12]["text"] is None
+    assert all(got[i]["text"] == t for i, t in rows[8:])
+    at = {i: [m.span() for m in re.finditer(r"(?i)\bquillon\b(?!@)", t or "")] for i, t in rows}
+    assert all({f"term:{s}:{e}" for s, e in at[r["doc_id"]]} <= set(r["spans"].split(",")) for r in pii.digest(docs).collect())
+
+
 def test_embedding_links_equal_brute_force(spark, sf_dir):
     """The whole table, and noisy copies of some of its vectors on both sides of the threshold."""
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()]
