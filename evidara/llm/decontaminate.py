@@ -2,7 +2,11 @@
 
 An item is fingerprinted at every offset in windows a little shorter than itself, a document at
 every few words in windows of the same size, so that a passage is met at equal alignment however it
-lies in the document. Fingerprints are 64-bit SimHashes of the words; the index cuts them into four
+lies in the document. One contiguous edit in the middle lies in all of those, so an item is also
+fingerprinted in windows small enough for the longer of the two runs that such an edit leaves: every
+edit of one block that keeps an item-sized window of the document at SIMILARITY leaves an aligned
+window without a change. Scattered edits are found as far as a window stays within RADIUS.
+Fingerprints are 64-bit SimHashes of the words; the index cuts them into four
 16-bit parts and holds each part with all its one-bit changes, so every pair within a Hamming
 distance of RADIUS = 7 agrees in a part and is found. A candidate names an item and where it begins; the
 similarity there is exact: the weighted Jaccard similarity of five-word shingles, each shingle
@@ -40,15 +44,34 @@ def stride(window: int) -> int:
     return max(1, min(8, window // 4))
 
 
-def window_of(length: int) -> int:
-    """The largest window of the ladder for an item of so many words that an aligned window avoids its ends' changed words."""
-    spare = (length - SHINGLE + 1) // 9 if length >= SHINGLE else 0
+def fitting(run: int) -> int:
+    """The largest window of the ladder that has an aligned place in every run of so many words."""
     size, best = 1, 1
-    while size + stride(size) - 1 + spare <= length:
+    while size + stride(size) - 1 <= run:
         best, size = size, max(size + 1, size * 7 // 5)
     return best
 
 
+def window_of(length: int) -> int:
+    """The window for an item of so many words that avoids its ends' changed words."""
+    return fitting(length - ((length - SHINGLE + 1) // 9 if length >= SHINGLE else 0))
+
+
+def clean_run(weight: np.ndarray, length: int) -> int:
+    """The least that one contiguous edit can leave as its longer unchanged run, in words, of an item of so many words and these weights of its shingles in order.
+
+    A passage at SIMILARITY holds at least that share of the item's weight, so the edit's shingles weigh at most the rest.
+    """
+    if length < SHINGLE:
+        return length
+    total = np.concatenate([[0.0], np.cumsum(weight)])
+    begin = np.arange(length)
+    before = total[np.maximum(0, begin - SHINGLE + 1)]
+    last = np.searchsorted(total, before + (1 - SIMILARITY) * total[-1] + 1e-9, "right") - 1
+    end = np.where(last == len(weight), length, last)
+    return int(np.where(end > begin, np.maximum(begin, length - end), length).min())
+
+
 class BitSums:
     """Sums of the words' hash bits over runs of 2^k words, from which those of any window are put together."""
 
@@ -79,18 +102,23 @@ class Index:
         self.shingles: list[tuple[np.ndarray, np.ndarray]] = []  # distinct ones in order, and how often each
         self.lengths: list[int] = []
         entries: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for k, (_, text) in enumerate(items):
+        texts: list[tuple[np.ndarray, np.ndarray]] = []  # hashes of the words and of the shingles, in order
+        for _, text in items:
             data = lowered(np.frombuffer((text or "").encode(), np.uint8))
             starts, ends, first = words(data, np.array([0, len(data)]), NOT_SPACE)
             h = hasher.of(data, starts, ends)
-            self.shingles.append(np.unique(shingles(h, first, SHINGLE)[0], return_counts=True))
+            made = shingles(h, first, SHINGLE)[0]
+            self.shingles.append(np.unique(made, return_counts=True))
             self.lengths.append(len(h))
-            if len(h):
-                w = window_of(len(h))
-                at = np.arange(len(h) - w + 1)
-                entries[w] += [(f, k, o) for f, o in zip(BitSums(h, w).fingerprints(at, w).tolist(), at.tolist(), strict=True)]
+            texts.append((h, made))
         self.known, holders = np.unique(np.concatenate([s for s, _ in self.shingles]), return_counts=True)
         self.known_weight, self.unseen = np.log(1 + len(items) / holders), math.log(1 + len(items))
+        for k, (h, made) in enumerate(texts):
+            if len(h):
+                large = window_of(len(h))
+                for w in {large, min(large, fitting(clean_run(self.weights(made), len(h))))}:
+                    at = np.arange(len(h) - w + 1)
+                    entries[w] += [(f, k, o) for f, o in zip(BitSums(h, w).fingerprints(at, w).tolist(), at.tolist(), strict=True)]
         self.tables = {}
         for w, rows in entries.items():
             prints = np.array([r[0] for r in rows], np.uint64)

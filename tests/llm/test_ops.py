@@ -244,6 +244,31 @@ def test_decontamination_finds_planted_and_spares_clean(spark, sf_dir, texts):
     assert {(d, i) for d, t in texts.items() for i, b in items.items() if b in t} <= whole
 
 
+def test_decontamination_finds_block_edits_near_the_threshold(spark):
+    """Every passage with one edited block whose weighted Jaccard similarity, by brute force, reaches 0.8."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (30, 60, 80, 120, 200, 300)]
+    grams = lambda ws: Counter(tuple(ws[k : k + 5]) for k in range(len(ws) - 4))
+    holders = Counter(g for ws in items for g in grams(ws))
+    weight = lambda c: sum(math.log(1 + len(items) / holders.get(g, 1)) * n for g, n in c.items())
+    rows, want = [], {}
+    for i, ws in enumerate(items):
+        near = (len(ws) - 4) // 9 - 4
+        for _ in range(40):
+            size, kind = max(1, near - r.randint(0, 2)), r.choice(["replace", "delete"])
+            at = r.choice([(len(ws) - size) // 2, r.randint(0, len(ws) - size)])
+            lead = [word() for _ in range(r.randint(0, 40))]
+            doc = lead + ws[:at] + [word() for _ in range(size * (kind == "replace"))] + ws[at + size :] + [word() for _ in range(60)]
+            mine, theirs = grams(ws), grams(doc[len(lead) : len(lead) + len(ws)])
+            if weight(mine & theirs) >= 0.8 * weight(mine | theirs):
+                want[len(rows)] = i
+            rows.append((len(rows), " ".join(doc)))
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(items)], "item_id long, text string")
+    found = {(g["doc_id"], g["item_id"]) for g in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 100 and set(want.items()) - found == set()
+
+
 def test_quality_on_held_out_labels(spark):
     big = "/root/testdata/sf0.01"
     rows = queries.op9_quality_classifier(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").collect()
