@@ -14,7 +14,7 @@ Ranks are given to distinct pairs after a map-side count and joined back, so a l
 the documents share is one row of what is sorted. A document's own lines stand together in one task,
 as its text did.
 
-Defined cases: a line's words are its spaces plus one, none if it is empty; null text stays null and
+Defined cases: a line's words are those of size_of, parted by any white space; null text stays null and
 has no lines, empty text has one empty line; rows that repeat doc_id and text are one document and
 keep the same lines; a null doc_id comes before all others; extra columns are kept; an empty table
 gives no rows.
@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .mixing import size_of
 from .tables import cut, null_safe_join, running
 
 MIN_WORDS = 20
@@ -38,8 +39,7 @@ def _lines(text: Column) -> Column:
 def _places(docs: DataFrame) -> DataFrame:
     """doc_id, key, pos, id, words of every line."""
     exploded = docs.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    n = F.when(F.col("line") == "", 0).otherwise(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1)
-    return exploded.select(*DOC, "pos", F.xxhash64("line", F.length("line")).alias("id"), n.cast("long").alias("words"))
+    return exploded.select(*DOC, "pos", F.xxhash64("line", F.length("line")).alias("id"), size_of(F.col("line")).alias("words"))
 
 
 def _windows(active: DataFrame, min_words: int) -> DataFrame:

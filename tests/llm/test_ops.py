@@ -211,6 +211,15 @@ def test_line_dedup_equals_all_windows(spark):
         assert (i in kept) == bool(left or not lines) and (i not in kept or kept[i]["text"] == "\n".join(left))
 
 
+def test_line_dedup_counts_words_between_any_white_space(spark):
+    table = "\n".join("\t".join(f"r{k}c{c}" for c in range(12)) for k in range(5))
+    wide = "\n".join(f"few   wide    words  {k}" for k in range(4))  # 16 words, 40 spaces
+    blank = "\n".join([" " * 30, "\t \r"] * 3)
+    rows = [(2 * k + i, t) for k, t in enumerate([table, wide, blank]) for i in range(2)]
+    got = by_id(linededup.digest(spark.createDataFrame([(i, f"head {i}\n{t}") for i, t in rows], "doc_id long, text string")))
+    assert {i: r["removed"] for i, r in got.items()} == {0: "", 1: "1:6", 2: "", 3: "", 4: "", 5: ""}
+
+
 def test_license_places_equal_plain_python(spark, sf_dir, texts):
     extra = {-1: "CC BY cc by", -2: "all rights reserved! General  Public-License", -3: "", -4: "by cc"}
     docs = spark.createDataFrame([*extra.items()], "doc_id long, text string").union(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
