@@ -8,7 +8,11 @@ probability below 1e-5, at 0.9 below 1e-13. For a candidate pair the likelihood
 registers of one are above, below or equal to the other's gives an estimate of its similarity; only
 pairs clearly below the threshold are left out by it, the rest are verified on the full sets.
 
-Exact copies of a set are one class from the start. Of the classes that share a bucket, `own` counts
+Exact copies of a set, by a hash of 128 bits, are one class from the start. Registers are written once
+a class and decide first which pairs are worth verifying; full sets are made again only for one document
+of each class that shares a bucket. Texts are not shuffled for that: a bit table of fixed size tells
+each task which of its documents may be wanted, and a join on the few sets that come out settles it.
+Of the classes that share a bucket, `own` counts
 the shingles that no other such class has: what two classes have in common is at most the smaller
 of their sizes without their own shingles, which bounds their similarity from above and rules out,
 without loss, most pairs that only share a frequent passage. Classes of one bucket are not paired
@@ -21,8 +25,11 @@ no link between different components is lost: every pair of one bucket that is l
 by a path of verified links or ruled out by the bound.
 
 Defined cases: texts without words (null, empty) have an empty set and link with nothing; exact
-duplicates of a row (same doc_id too) are one node; a null doc_id is linked with nothing and keeps
-its row; extra columns are ignored; an empty table gives no rows.
+duplicates of a row (same doc_id too) are one node; rows that share a doc_id but not their set are
+nodes of their own; a null doc_id is linked with nothing and keeps its row; an empty table gives no
+rows. `groups` ignores extra columns and answers each row. `kept` leaves one row of each group with
+all its columns: of the smallest doc_id, of that the smallest class, of exact repeats the one whose
+columns hash lowest; rows without words or doc_id all stay.
 """
 
 from __future__ import annotations
@@ -31,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import cut
+from .tables import bit_table, cut, may_hold, reread
 from .textarrays import NOT_SPACE, Hasher, lowered, mixed, shingles, text_slices, words
 
 ROWS, BANDS = 6, 40
@@ -43,14 +50,18 @@ REGISTERS = ROWS * BANDS
 BASE, LIMIT = 1.01, 4000
 #: Rounds of centres before the rest is compared outright.
 ROUNDS = 2
-#: So many pairs at most count as few.
-FEW = 20_000
+#: So many pairs at most count as few: the numbers of their classes (16 bytes a pair) are broadcast.
+FEW = 200_000
 #: Members of a bucket whose pairs are joined, and of a tile of larger ones.
 SMALL, TILE = 16, 1_000
 #: Standard errors of the estimate below the threshold at which a pair is left out.
 SLACK = 7.0
 
-SKETCHED = "doc_id long, n_shingles long, class long, registers binary"
+#: Bits of the table of wanted documents.
+WANTED_BITS = 25
+
+SET = ["c1", "c2"]
+SKETCHED = "doc_id long, t1 long, t2 long, n_shingles long, c1 long, c2 long, registers binary"
 
 
 def registers(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -78,13 +89,14 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int, hasher: Hasher) -
     return h[keep], np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(off) - 1))])
 
 
-def class_names(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The indices of the texts with a non-empty set, and a hash that names each one's set."""
+def class_names(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The indices of the texts with a non-empty set, and a hash of two numbers that names each one's set."""
     n = np.diff(at)
     some = np.flatnonzero(n)
     if not len(some):
-        return some, np.zeros(0, np.int64)
-    return some, mixed(np.add.reduceat(mixed(h + np.uint64(77)), at[:-1][some]) + n[some].astype(np.uint64)).view(np.int64)
+        return some, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one, two = (mixed(np.add.reduceat(mixed(h * np.uint64(2 * k + 1) + np.uint64(77 + k)), at[:-1][some]) + n[some].astype(np.uint64)).view(np.int64) for k in (0, 1))
+    return some, one, two
 
 
 def _sketch(size: int):
@@ -94,26 +106,32 @@ def _sketch(size: int):
             ids = b.column("doc_id").cast(pa.int64())
             for lo, hi, data, off in text_slices(b.column("text")):
                 h, at = shingle_sets(data, off, size, hasher)
-                some, name = class_names(h, at)
-                names, sketches = np.zeros(hi - lo, np.int64), [None] * (hi - lo)
-                names[some] = name
+                some, *names = class_names(h, at)
+                c, sketches = np.zeros((2, hi - lo), np.int64), [None] * (hi - lo)
+                c[:, some] = names
                 if len(some):
                     for i, r in zip(some, registers(h, np.append(at[:-1][some], len(h))), strict=True):
                         sketches[i] = r.tobytes()
                 n = np.diff(at)
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.array(n, pa.int64()), pa.array(names, mask=n == 0), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "class", "registers"])
+                yield pa.RecordBatch.from_arrays(
+                    [ids[lo:hi], b.column("t1")[lo:hi], b.column("t2")[lo:hi], pa.array(n, pa.int64()), *(pa.array(x, mask=n == 0) for x in c), pa.array(sketches, pa.binary())], ["doc_id", "t1", "t2", "n_shingles", *SET, "registers"]
+                )
 
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, wanted: bytes):
+    """Sets of the documents that the bit table lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            for _, _, data, off in text_slices(b.column("text")):
+            b = b.filter(pa.array(may_hold(wanted, b.column("bit").to_numpy(zero_copy_only=False))))
+            ids = b.column("doc_id").cast(pa.int64()).to_numpy()
+            for lo, hi, data, off in text_slices(b.column("text")):
                 h, at = shingle_sets(data, off, size, hasher)
-                some, name = class_names(h, at)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([h[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], ["class", "shingles"])
+                some, one, two = class_names(h, at)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][some]), pa.array(one), pa.array(two), pa.array([h[at[i] : at[i + 1]].tobytes() for i in some], pa.binary())], ["smallest", *SET, "shingles"])
 
     return run
 
@@ -137,30 +155,44 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return j[score.argmax(1)]
 
 
+def _pairs(b: pa.RecordBatch, ok: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(ok)) for k in ("a", "b")], ["a", "b"])
+
+
+def _likely(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reg = lambda n: np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint16).reshape(-1, REGISTERS)  # noqa: E731,B023
+            size = lambda n: b.column(n).to_numpy().astype(float)  # noqa: E731,B023
+            yield _pairs(b, estimate(reg("ra"), reg("rb"), size("na"), size("nb")) >= _least(percent) if b.num_rows else np.zeros(0, bool))
+
+    return run
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c = {n: b.column(n) for n in b.schema.names}
-            reg = lambda n: np.frombuffer(b"".join(c[n].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            size = lambda n: np.fromiter((len(x) // 8 for x in c[n].to_pylist()), float, b.num_rows)
-            ok = np.zeros(b.num_rows, bool)
-            if b.num_rows:
-                for i in np.flatnonzero(estimate(reg("ra"), reg("rb"), size("sa"), size("sb")) >= _least(percent)):
-                    ok[i] = _similar(*(np.frombuffer(c[n][int(i)].as_buffer(), np.uint64) for n in ("sa", "sb")), percent)
-            yield pa.RecordBatch.from_arrays([c["a"].filter(pa.array(ok)), c["b"].filter(pa.array(ok))], ["a", "b"])
+            sa, sb = ([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(k)] for k in ("sa", "sb"))
+            yield _pairs(b, np.array([_similar(x, y, percent) for x, y in zip(sa, sb, strict=True)], bool))
 
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of pairs whose sets are similar enough; pairs hold each (a, b) once, sets(class, shingles, registers) each class once."""
+def _beside(pairs: DataFrame, table: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """pairs(a, b) with the table's columns for a and for b, under their new names followed by a and b; nothing bounds the table, so it is never broadcast."""
+    side = lambda k: table.select(F.col("class").alias(k), *[F.col(c).alias(new + k) for c, new in columns.items()]).hint("merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", *[new + k for new in columns.values() for k in "ab"])
+
+
+def linked(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of pairs whose sets are similar enough; pairs hold each (a, b) once, sketches(class, size, registers) and sets(class, shingles) each class once.
+
+    Registers meet first, and only pairs whose estimate allows it fetch their sets.
+    """
     pairs = cut(pairs)
-    n = pairs.count()
-    if n <= FEW:  # then so few classes that they may be sent to all tasks, and the other sets stay where they are
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        sets = cut(sets.join(F.broadcast(wanted), "class", "left_semi"))
-    side = lambda k: sets.select(F.col("class").alias(k), F.col("shingles").alias(f"s{k}"), F.col("registers").alias(f"r{k}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "ra", "rb").mapInArrow(_verify(percent), "a long, b long")
+    few = lambda p, table: cut(table.join(F.broadcast(p.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "class", "left_semi")) if p.count() <= FEW else table
+    likely = cut(_beside(pairs, few(pairs, sketches), {"registers": "r", "size": "n"}).mapInArrow(_likely(percent), "a long, b long"))
+    return _beside(likely, few(likely, sets), {"shingles": "s"}).mapInArrow(_verify(percent), "a long, b long")
 
 
 def band_keys(r: np.ndarray) -> np.ndarray:
@@ -240,7 +272,7 @@ def tiled(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = F.transform(F.filter(every, lambda j: j >= F.col("chunk")), lambda j: tile(F.col("chunk"), j, 0))
     other = F.transform(F.filter(every, lambda i: i < F.col("chunk")), lambda i: tile(i, F.col("chunk"), 1))
     placed = large.select("key", "band", "class", "component", "size", "own", F.inline(F.concat(own, other)))
-    return placed.join(sets, "class").groupBy("key", "ti", "tj").applyInArrow(_tile(percent), "a long, b long")
+    return placed.join(sets.hint("merge"), "class").groupBy("key", "ti", "tj").applyInArrow(_tile(percent), "a long, b long")
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,21 +289,22 @@ def _possible(percent: int, size: str, own: str, other_size: str, other_own: str
 
 
 def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, component) over the classes that are linked with another one; classes(class, smallest, registers)."""
+    """(node, component) over the classes that are linked with another one; classes(class, c1, c2, smallest, size, registers)."""
     keyed = band_values(classes)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = cut(keyed.join(shared, "key"))
-    mates = buckets.groupBy("class").agg(F.sum("n").alias("mates"))
+    buckets = cut(keyed.join(shared.hint("merge"), "key"))
+    mates = cut(buckets.groupBy("class").agg(F.sum("n").alias("mates")))
     # full sets are made again only for one document of each class that shares a bucket
-    wanted = classes.join(mates.select("class"), "class")
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("smallest").alias("doc_id")), "doc_id", "left_semi")
-    made = texts.select("text").mapInArrow(_sets(size), "class long, shingles binary")
-    sets = cut(wanted.join(made, "class").select("class", "shingles", "registers").dropDuplicates(["class"]))
-    alone = sets.select("class", "shingles").mapInArrow(_exploded, "shingle long, class long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
+    wanted = cut(classes.join(mates.select("class").hint("merge"), "class").select("class", *SET, "smallest", "size", "registers"))
+    texts = docs.where("doc_id is not null").select("doc_id", "text", _bit("doc_id").alias("bit"))
+    made = texts.mapInArrow(_sets(size, bit_table(wanted.select(_bit("smallest").alias("bit")), WANTED_BITS)), "smallest long, c1 long, c2 long, shingles binary")
+    sets = cut(wanted.select("class", *SET, "smallest").join(made.hint("merge"), [*SET, "smallest"]).select("class", "shingles").dropDuplicates(["class"]))
+    sketches = wanted.select("class", "size", "registers")
+    alone = sets.mapInArrow(_exploded, "shingle long, class long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1")
     own = alone.groupBy("class").agg(F.count("*").alias("own"))
-    sizes = sets.select("class", (F.length("shingles") / 8).cast("long").alias("size")).join(own, "class", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    able = cut(sizes.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size")))
-    labelled = buckets.select("key", "band", "class").join(able.join(mates, "class"), "class").withColumn("component", F.col("class"))
+    sizes = wanted.select("class", "size").join(own.hint("merge"), "class", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    able = sizes.where(100 * (F.col("size") - F.col("own")) >= percent * F.col("size"))
+    labelled = cut(buckets.select("key", "band", "class").join(able.join(mates, "class").hint("merge"), "class").withColumn("component", F.col("class")))
     edges = classes.sparkSession.createDataFrame([], "a long, b long")
     for number in range(ROUNDS + 1):
         if number:
@@ -294,29 +327,48 @@ def class_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) ->
         other = other.select(F.col("key").alias("key_"), F.col("class").alias("other"), F.col("size").alias("size_"), F.col("own").alias("own_"), F.col("component").alias("component_"))
         meet = few.join(other, (F.col("key") == F.col("key_")) & (F.col("component") != F.col("component_")) & _possible(percent, "size", "own", "size_", "own_"))
         pairs = meet.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
-        more = linked(pairs, sets, percent)
+        more = linked(pairs, sketches, sets, percent)
         if last:
-            more = more.union(tiled(sized.where(F.col("n") > SMALL), sets, percent))
+            more = more.union(tiled(sized.where(F.col("n") > SMALL), sets.join(sketches.drop("size"), "class"), percent))
         edges = cut(edges.union(more))
     return components(edges)
 
 
-def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text): word shingles of `size`, similarity of at least `percent` in a hundred."""
-    rows = cut(docs.select("doc_id", "text").mapInArrow(_sketch(size), SKETCHED))
-    nodes = rows.where("doc_id is not null and class is not null")
-    classes = cut(nodes.groupBy("class").agg(F.min("doc_id").alias("smallest"), F.first("registers").alias("registers")))
+def _bit(doc_id: str):
+    return F.pmod(F.xxhash64(doc_id), F.lit(1 << WANTED_BITS))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, t1, t2 (a hash of the text), n_shingles, c1, c2, component_id, head (whether the class is its component's first) for every row of docs(doc_id, text)."""
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    rows = reread(hashed.mapInArrow(_sketch(size), SKETCHED), "sketches")
+    nodes = rows.where("doc_id is not null and c1 is not null")
+    classes = nodes.groupBy(*SET).agg(F.min("doc_id").alias("smallest"), F.first("n_shingles").alias("size"), F.first("registers").alias("registers"))
+    # numbers that no two classes share; they are fixed by writing them down
+    classes = reread(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     joined = class_links(docs, classes, size, percent).withColumnRenamed("node", "class")
-    grouped = classes.select("class", "smallest").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    lowest = grouped.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    of_class = grouped.join(lowest, "component").select("class", "component_id")
+    grouped = cut(classes.select("class", *SET, "smallest").join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")))
+    first = grouped.groupBy("component").agg(F.min(F.struct("smallest", *SET)).alias("first"))
+    of_class = grouped.join(first.hint("merge"), "component").select(*SET, F.col("first.smallest").alias("component_id"), (F.struct("smallest", *SET) == F.col("first")).alias("head"))
     # the rows of a class of very many copies are split by the skew join, as nothing above it needs them together
-    out = rows.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
+    return rows.drop("registers").join(of_class.hint("merge"), SET, "left")
+
+
+def groups(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs(doc_id, text): word shingles of `size`, similarity of at least `percent` in a hundred."""
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
+    return _grouped(docs, size, percent).select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 
 
 def kept(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The rows of docs, all columns, without the documents that are not their group's first."""
-    later = groups(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of docs, all columns, and the rows that can't link."""
+    key = ["id", "t1", "t2"]
+    # the whole row is one column beside the join's, so no extra column can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    free = F.col("id").isNull() | ~F.coalesce(F.col("row.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    first = _grouped(docs.select("doc_id", "text"), size, percent).where(F.col("head") & (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("id"), "t1", "t2", *SET)
+    # texts of one set that differ, as in white space or case: one of them
+    first = first.groupBy("id", *SET).agg(F.min(F.struct("t1", "t2")).alias("t")).select("id", "t.t1", "t.t2")
+    found = rows.where(~free).join(first.hint("merge"), key, "left_semi")
+    once = found.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("row")))).where("nth = 1").select("row.*")
+    return rows.where(free).select("row.*").unionByName(once)

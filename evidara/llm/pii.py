@@ -26,19 +26,18 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.words import ascii_lower
-from .tables import cut
+from .tables import bit_table, cut
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, REACH = 8, 240
 MIN_SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.95
 MIN_TERM = 3
-TABLE_BITS, BUCKET_BITS = 22, 15  # of the bit table, and of one row that Spark's bitmap functions give
+TABLE_BITS = 22
 BROADCAST = 8 << 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -191,21 +190,11 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return ratio.groupBy("term").agg(F.when(F.max("ratio") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
-def bit_table(terms: DataFrame) -> bytes | None:
-    """A table of 2^TABLE_BITS bits in which the bits of the terms' checksums are set; None without terms."""
-    bit = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(1 << TABLE_BITS)) + 1  # Spark numbers buckets from 1
-    rows = terms.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-    table = np.zeros((1 << TABLE_BITS - BUCKET_BITS, 1 << BUCKET_BITS - 3), np.uint8)
-    for r in rows:
-        table[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
-    return table.tobytes() if rows else None
-
-
 def find(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """row (a key of the input row), doc_id, n_<kind>, base (kind:start:end, comma-joined), terms (array of start, end, action), and text if kept."""
     docs = docs.select("doc_id", "text")
     actions = cut(disclosing(docs))
-    table = bit_table(actions)
+    table = bit_table(actions.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(1 << TABLE_BITS)).alias("bit")), TABLE_BITS)
     # the row's key is fixed by writing it down
     found = cut(docs.mapInArrow(lambda batches: _find(batches, keep_text, table), FOUND + ", text string" * keep_text).withColumn("row", F.monotonically_increasing_id()))
     # a term may stand in a third of the documents: short lists are joined without dealing by term

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests on one machine) a
-    temporary folder takes its place.
+    The cluster names it in spark.checkpoint.dir; where that is unset, a temporary folder takes its
+    place on one machine (tests), and a cluster's session is refused.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -61,3 +64,25 @@ def running(df: DataFrame, group: list[str], order: list[Column], value: Column,
     within = Window.partitionBy("part_", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = dealt.withColumn("within_", F.sum("value_").over(within))
     return null_safe_join(summed, lifted, ["part_", *group]).select(*df.columns, (F.col("within_") + F.col("before_")).alias(name))
+
+
+#: Bits of one row that Spark's bitmap functions give.
+BUCKET_BITS = 15
+
+
+def bit_table(bits: DataFrame, size: int) -> bytes | None:
+    """A table of 2^size bits in which those of bits(bit) are set; None without rows. Its size does not depend on how many there are."""
+    bit = (F.col("bit") + 1).alias("bit")  # Spark numbers buckets from 1
+    rows = bits.select(bit).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
+    table = np.zeros((1 << size - BUCKET_BITS, 1 << BUCKET_BITS - 3), np.uint8)
+    for r in rows:
+        table[r["bucket"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return table.tobytes() if rows else None
+
+
+def may_hold(table: bytes | None, bit: np.ndarray) -> np.ndarray:
+    """Which bits are set in the table."""
+    if table is None:
+        return np.zeros(len(bit), bool)
+    bit = bit.astype(np.int64)
+    return (np.frombuffer(table, np.uint8)[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
