@@ -64,12 +64,39 @@ def stale_writes(writes: DataFrame, turns: DataFrame, conv: str, turn: str) -> D
     return writes.join(current, conv, "left").where(~F.col(turn).eqNullSafe(F.col("current")))
 
 
-def credentials_in_force(uses: DataFrame, grants: DataFrame, keys: list[str], minutes: int) -> DataFrame:
-    """uses(keys, ts) with `valid`: some grant(keys, issued) of the same record and turn was issued at most `minutes` before."""
-    uses = uses.withColumn("use_", F.monotonically_increasing_id())
-    age = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("issued").cast("timestamp"))
-    held = uses.join(grants.select(*keys, "issued"), keys, "left").groupBy("use_", *keys, "ts").agg(F.max(F.coalesce((age >= 0) & (age <= minutes * 60_000_000), F.lit(False))).alias("valid"))
-    return held.drop("use_")
+def misdirected_writes(writes: DataFrame, turns: DataFrame, bound: DataFrame, conv: str, turn: str, record: str) -> DataFrame:
+    """Writes(conv, turn, record) to a record other than their conversation's in bound(conv, record), or of a turn that is not current, with `reason`."""
+    current = turns.groupBy(conv).agg(F.max(turn).alias("current_"))
+    joined = writes.join(bound.select(conv, F.col(record).alias("record_")), conv, "left").join(current, conv, "left")
+    other = ~F.col(record).eqNullSafe(F.col("record_"))
+    reason = F.when(other, "record").when(~F.col(turn).eqNullSafe(F.col("current_")), "turn")
+    return joined.select(*writes.columns, reason.alias("reason")).where(F.col("reason").isNotNull())
+
+
+def checked_arguments(calls: DataFrame, arguments: str, schema: str, ident: str, allowed: DataFrame) -> DataFrame:
+    """calls with `problem`: syntax (no JSON object of the schema), id (not in allowed(id)), or null. What the caller sent is never trusted, only compared."""
+    parsed = F.from_json(arguments, f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    named = calls.withColumn("args_", parsed).withColumn("id_", F.col(f"args_.{ident}"))
+    known = allowed.select(F.col(ident).alias("id_")).distinct().withColumn("known_", F.lit(True))
+    bad = F.col("args_").isNull() | F.col("args_._corrupt_record").isNotNull() | F.col("id_").isNull()
+    return named.join(known, "id_", "left").select(*calls.columns, F.when(bad, "syntax").when(F.col("known_").isNull(), "id").alias("problem"))
+
+
+def credentials_in_force(uses: DataFrame, grants: DataFrame, keys: list[str], minutes: int, use: str) -> DataFrame:
+    """uses(use, keys, ts) with `valid`: some grant(keys, issued) of the same record and turn was issued at most `minutes` before. `use` tells uses apart.
+
+    Uses and grants meet by the last grant up to each use, so no use meets all grants of its key: the
+    grants' running latest time within the key's day, and the latest of the day before, decide.
+    """
+    length = minutes * 60_000_000
+    day = lambda at: F.floor(at / F.lit(max(length, 1)))
+    asked = uses.select(*keys, micros("ts").alias("at"), F.col(use).alias("use_"), F.lit(None).cast("long").alias("given"))
+    given = grants.select(*keys, micros("issued").alias("at"), F.lit(None).cast(uses.schema[use].dataType).alias("use_"), micros("issued").alias("given"))
+    slots = asked.withColumn("slot", day(F.col("at"))).unionByName(given.withColumn("slot", F.explode(F.array(day(F.col("at")), day(F.col("at")) + 1))))
+    # a grant counts for uses of its own slot of that length and of the next
+    last = F.max("given").over(Window.partitionBy(*keys, "slot").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    held = slots.withColumn("last_", last).where(F.col("use_").isNotNull()).select(F.col("use_").alias(use), F.coalesce(F.col("at") - F.col("last_") <= length, F.lit(False)).alias("valid"))
+    return uses.join(held, use)
 
 
 def within_retention(events: DataFrame, ts: str, days: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def merge_layers(leaves: DataFrame, group: list[str]) -> DataFrame:
     """group, path, value of leaves(group, layer, path array, value) after every layer is laid over the ones before.
@@ -89,25 +91,37 @@ def masked_overrides(candidates: DataFrame, group: list[str], priority: str, has
     return candidates.groupBy(*group).agg(F.min_by(has_override, priority).alias("first_"), F.bool_or(has_override).alias("any_")).where("any_ and not first_").select(*group)
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """ancestor, node, depth: all pairs that edges(parent, node) connect, with the shortest depth.
 
-    Semi-naive: each step joins only the pairs that the step before found, and the results of each
-    step are checkpointed where the session has a folder for that.
+    Semi-naive: each step joins only the pairs that the step before found, until a step finds none;
+    cycles end as their pairs are found. Each step is written down in the shared folder.
     """
     edges = edges.select("parent", "node").distinct()
-    has_folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None)
-    save = (lambda df: df.checkpoint()) if has_folder else (lambda df: df.cache())
-    found = new = save(edges.select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth")))
-    for depth in range(2, max_depth + 1):
+    found = new = cut(edges.select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth")))
+    depth = 1
+    while not new.isEmpty():
+        depth += 1
         step = new.select("ancestor", F.col("node").alias("parent")).join(edges, "parent").select("ancestor", "node").distinct()
-        new = save(step.join(found, ["ancestor", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            break
+        new = cut(step.join(found, ["ancestor", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         found = found.union(new)
     return found
 
 
+def undeclared(references: DataFrame, declared: DataFrame, key: str) -> DataFrame:
+    """References to what nobody declares; no row means that all are declared."""
+    return references.join(declared, key, "left_anti")
+
+
+def counts(items: DataFrame, group: str) -> DataFrame:
+    return items.groupBy(group).agg(F.count("*").alias("items"))
+
+
+def catalogue_order(rows: DataFrame, module: str, phase: str, ordinal: str) -> DataFrame:
+    """By module and phase, blank phases first; within a group the order of the source."""
+    return rows.orderBy(F.col(module), F.col(phase).asc_nulls_first(), F.col(ordinal))
+
+
 def running_total(rows: DataFrame, group: list[str], order: str, amount: str) -> DataFrame:
     """rows with `total`, the sum up to and with each row of the group; meant for aggregates (days of a month, years)."""
     return rows.withColumn("total", F.sum(amount).over(Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))

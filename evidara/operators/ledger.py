@@ -48,6 +48,46 @@ def feedback(ratings: DataFrame, epic: str, rating: str, categories: str) -> Dat
     return each.groupBy(epic, "category").agg(F.count("*").alias("responses"), F.round(F.avg(rating), 6).alias("mean_rating"))
 
 
+def monthly_cost(usage: DataFrame, ts: str, quantity: str, price: str) -> DataFrame:
+    """month, cents: quantity times unit price, each line rounded to cents."""
+    line = cents(F.col(quantity).cast("decimal(18,2)") * F.col(price).cast("decimal(18,2)"))
+    return usage.groupBy(F.trunc(F.col(ts).cast("date"), "month").alias("month")).agg(F.sum(line).alias("cents"))
+
+
+def estimate(lines: DataFrame, environment: str, epic: str, monthly: str) -> DataFrame:
+    """environment, epic, monthly, annual and daily cents, and the epic's share of its environment; monthly amounts are of one month."""
+    by = lines.groupBy(environment, epic).agg(F.sum(cents(F.col(monthly))).alias("monthly"))
+    whole = F.sum("monthly").over(Window.partitionBy(environment))
+    return by.select(environment, epic, "monthly", (12 * F.col("monthly")).alias("annual"), F.round(12 * F.col("monthly") / 365, 6).alias("daily"), F.round(F.try_divide(F.col("monthly"), whole), 6).alias("share"))
+
+
+def against_budget(actual: DataFrame, budget: DataFrame, key: list[str], amount: str) -> DataFrame:
+    """key, budget, actual, left and used (share, null without a budget) in cents; keys of either side."""
+    spent = actual.groupBy(*key).agg(F.sum(cents(F.col(amount))).alias("actual"))
+    both = budget.select(*key, "budget").join(spent, key, "full")
+    some = lambda c: F.coalesce(c, F.lit(0))
+    return both.select(*key, some("budget").alias("budget"), some("actual").alias("actual"), (some("budget") - some("actual")).alias("left"), F.round(F.try_divide(some("actual"), F.col("budget")), 6).alias("used"))
+
+
+def at_list_price(calls: DataFrame, prices: DataFrame, group: str, model: str, tokens: str, started: str, ended: str) -> DataFrame:
+    """group, calls, cents and days (from the first start to the last end) of calls at prices(model, price) a token; calls without a price cost nothing and are counted in `unpriced`."""
+    by = calls.groupBy(group, model).agg(F.count("*").alias("calls"), F.sum(F.col(tokens).cast("decimal(18,0)")).alias("tokens"), F.min(started).alias("first"), F.max(ended).alias("last"))
+    priced = by.join(prices.select(model, F.col("price").cast("decimal(10,4)").alias("price")), model, "left")
+    cost = F.sum(F.coalesce(F.round(F.col("tokens") * F.col("price") * 100, 0).cast("long"), F.lit(0)))
+    days = F.datediff(F.max("last"), F.min("first"))
+    return priced.groupBy(group).agg(F.sum("calls").alias("calls"), F.sum(F.when(F.col("price").isNull(), F.col("calls")).otherwise(0)).alias("unpriced"), cost.alias("cents"), days.alias("days"))
+
+
+def retiring(models: DataFrame, retires: str, today: str, days: int) -> DataFrame:
+    """Models whose date of retirement is at most so many days after `today` (a date as text), the past included."""
+    return models.where(F.col(retires) <= F.date_add(F.lit(today).cast("date"), days))
+
+
+def unrated(finished: DataFrame, ratings: DataFrame, epic: str) -> DataFrame:
+    """Finished epics that nobody has rated yet."""
+    return finished.select(epic).distinct().join(ratings, epic, "left_anti")
+
+
 def payback(years: DataFrame, project: str, year: str, net: str) -> DataFrame:
     """project, payback_year: the first year whose running net is not negative, null if none is."""
     total = F.sum(net).over(Window.partitionBy(project).orderBy(year).rowsBetween(Window.unboundedPreceding, 0))

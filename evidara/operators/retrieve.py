@@ -8,9 +8,12 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 #: Queries that one pass over the rules carries.
 PART = 4_096
 
@@ -34,40 +37,30 @@ def vector_top_k(queries: DataFrame, rules: DataFrame, k: int, digits: int = 6)
     best, so what is shuffled is k rows a query and task, however many rules there are. Null and zero
     vectors and vectors of another length score nothing.
     """
-    n = queries.count()
-    parts = max(1, -(-n // PART))
 
     def best(ids: np.ndarray, q: np.ndarray):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            score, rule = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for b in batches:
                 rows = [(i, v) for i, v in zip(b.column("rule_id").to_pylist(), b.column("embedding").to_pylist(), strict=True) if v and None not in v and len(v) == q.shape[1] and any(v)]
-                if not rows:
-                    continue
-                x = np.array([v for _, v in rows], float)
-                x /= np.sqrt((x * x).sum(1, keepdims=True))
-                r = np.broadcast_to(np.array([i for i, _ in rows]), (len(ids), len(rows)))
-                s = np.where(r == ids[:, None], -np.inf, np.round(q @ x.T, digits))
-                score, rule = np.concatenate([score, s], 1), np.concatenate([rule, r], 1)
-                order = np.lexsort((rule, -score), axis=1)[:, :k]
-                score, rule = np.take_along_axis(score, order, 1), np.take_along_axis(rule, order, 1)
-            ok = score > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(rule[ok]), pa.array(score[ok])], ["query_id", "rule_id", "score"])
-
-        return rules.select("rule_id", "embedding").mapInArrow(run, "query_id long, rule_id long, score double")
-
-    found = []
-    for part in range(parts):
+                if rows:
+                    x = np.array([v for _, v in rows], float)
+                    x /= np.sqrt((x * x).sum(1, keepdims=True))
+                    r = np.array([i for i, _ in rows])
+                    yield np.where(r[None] == ids[:, None], -np.inf, np.round(q @ x.T, digits)), r
+
+        return rules.select("rule_id", "embedding").mapInArrow(lambda batches: iter([_best(ids, k, chunks(batches))]), "query_id long, rule_id long, score double")
+
+    blocks = []
+    for part in _blocks(queries):
         by_length: dict[int, list] = {}
-        for r in queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "embedding").collect():
+        for r in part.select("query_id", "embedding").collect():
             if r["embedding"] and None not in r["embedding"] and any(r["embedding"]):
                 by_length.setdefault(len(r["embedding"]), []).append((r["query_id"], r["embedding"]))
         for rows in by_length.values():
             q = np.array([v for _, v in rows], float)
-            found.append(best(np.array([i for i, _ in rows]), q / np.sqrt((q * q).sum(1, keepdims=True))))
-    if not found:
-        return queries.sparkSession.createDataFrame([], "query_id long, rule_id long, score double, rank int")
-    return ranked(reduce(DataFrame.union, found), k)
+            # so that no two blocks of queries are held at once
+            blocks.append(cut(best(np.array([i for i, _ in rows]), q / np.sqrt((q * q).sum(1, keepdims=True)))))
+    return _united(blocks, queries, k)
 
 
 def terms(text: Column) -> Column:
@@ -75,24 +68,118 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), "[ \n\t\r]+"), "")
 
 
+#: Products of query terms and documents that are summed at once.
+EXPANDED = 4_000_000
+
+
+class Keywords:
+    """A block of queries as pairs (query, term) by term, to be carried to the documents."""
+
+    def __init__(self, rows: list[tuple[int, list[str]]]) -> None:
+        self.ids = np.array([i for i, _ in rows], np.int64)
+        self.vocabulary = pa.array(sorted({t for _, ts in rows for t in ts}), pa.string())
+        place = {t: k for k, t in enumerate(self.vocabulary.to_pylist())}
+        pairs = np.array(sorted((place[t], q) for q, (_, ts) in enumerate(rows) for t in set(ts)), np.int64).reshape(-1, 2)
+        self.query = pairs[:, 1]
+        self.begin = np.searchsorted(pairs[:, 0], np.arange(len(place) + 1))
+
+    def postings(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document (place in the batch), term and frequency of the vocabulary's words in a column of word lists, by document and term."""
+        flat = pc.index_in(pc.list_flatten(words), self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = pc.list_parent_indices(words).to_numpy().astype(np.int64)
+        key, tf = np.unique((doc * max(1, len(self.vocabulary)) + flat)[flat >= 0], return_counts=True)
+        return key // max(1, len(self.vocabulary)), key % max(1, len(self.vocabulary)), tf
+
+    def scores(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Queries x documents: summed weights, terms always in the same order."""
+        size = self.begin[term + 1] - self.begin[term]
+        at = np.repeat(self.begin[term] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return np.bincount(self.query[at] * n + np.repeat(doc, size), np.repeat(weight, size), len(self.ids) * n).reshape(len(self.ids), n)
+
+
+def _best(ids: np.ndarray, k: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The k best of each query of the (scores, rule ids) that come in, one chunk of rules after the other; -inf is no hit."""
+    score, rule = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+    for s, r in found:
+        score, rule = np.concatenate([score, s], 1), np.concatenate([rule, np.broadcast_to(r, s.shape)], 1)
+        order = np.lexsort((rule, -score), axis=1)[:, :k]
+        score, rule = np.take_along_axis(score, order, 1), np.take_along_axis(rule, order, 1)
+    ok = score > -np.inf
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(1))), pa.array(rule[ok]), pa.array(score[ok])], ["query_id", "rule_id", "score"])
+
+
+def _blocks(queries: DataFrame) -> Iterator[DataFrame]:
+    parts = max(1, -(-queries.count() // PART))
+    return (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) for part in range(parts))
+
+
+def _united(blocks: list[DataFrame], queries: DataFrame, k: int) -> DataFrame:
+    if not blocks:
+        return queries.sparkSession.createDataFrame([], "query_id long, rule_id long, score double, rank int")
+    return ranked(reduce(DataFrame.union, blocks), k)
+
+
 def keyword_top_k(queries: DataFrame, rules: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
-    """BM25 of queries(query_id, text) against rules(rule_id, text), rounded.
+    """BM25 of queries(query_id, text) against rules(rule_id, text), rounded; each query word counts once.
 
-    Only the rules' words that some query has leave the scan: they are semi-joined before they are
-    counted, so postings grow with the queries' vocabulary. Each query word counts once.
+    Queries are carried to the rules in blocks, so a word that nearly all rules hold makes no row a
+    query and rule: one pass counts rules, sizes and holders of the block's words (a row a word and
+    task), another scores and returns each task's k best a query.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     words = rules.select("rule_id", terms(F.col("text")).alias("words"))
-    sized = words.select("rule_id", F.size("words").alias("size"), F.explode("words").alias("term"))
-    vocabulary = wanted.select("term").distinct()
-    tf = sized.join(vocabulary, "term", "left_semi").groupBy("rule_id", "size", "term").agg(F.count("*").alias("tf"))
-    all_rules = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
-    n, mean = all_rules["n"], all_rules["mean"] or 1.0
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.lit(float(mean))))
-    scores = tf.join(df, "term").join(wanted, "term").groupBy("query_id", "rule_id").agg(F.round(F.sum(weight), digits).alias("score"))
-    return ranked(scores, k)
+    blocks = []
+    for part in _blocks(queries):
+        asked = Keywords([(r["query_id"], r["words"]) for r in part.select("query_id", terms(F.col("text")).alias("words")).collect() if r["words"]])
+        if not len(asked.ids):
+            continue
+        count, score = _counted(asked), _scored
+        held = {r["term"]: (r["n"], r["size"]) for r in words.mapInArrow(count, "term int, n long, size long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()}
+        n, size = held.get(-1, (0, 0))
+        whole = held.get(-2, (0, 0))[0]
+        df = np.zeros(len(asked.vocabulary))
+        for t, (holders, _) in held.items():
+            if t >= 0:
+                df[t] = holders
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        block = words.mapInArrow(score(asked, idf, size / whole if size else 1.0, k, k1, b, digits), "query_id long, rule_id long, score double")
+        # so that no two blocks of queries are held at once
+        blocks.append(cut(block))
+    return _united(blocks, queries, k)
+
+
+def _counted(asked: Keywords):
+    """Rows of term, n, size: the holders of each word of the block, all rules as -1 with their size, those that have a text as -2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, whole, size = np.zeros(len(asked.vocabulary), np.int64), 0, 0, 0
+        for batch in batches:
+            words = batch.column("words")
+            _, term, _ = asked.postings(words)
+            df += np.bincount(term, minlength=len(df))
+            n, whole, size = n + len(words), whole + len(words) - words.null_count, size + len(pc.list_flatten(words))
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*some, -1, -2], pa.int32()), pa.array([*df[some], n, whole], pa.int64()), pa.array([*[0] * len(some), size, 0], pa.int64())], ["term", "n", "size"])
+
+    return run
+
+
+def _scored(asked: Keywords, idf: np.ndarray, mean: float, k: int, k1: float, b: float, digits: int):
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for batch in batches:
+            words, rule = batch.column("words"), batch.column("rule_id").to_numpy()
+            doc, term, tf = asked.postings(words)
+            size = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+            weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))
+            cost = np.cumsum(asked.begin[term + 1] - asked.begin[term])
+            lo = 0
+            while lo < len(doc):  # whole documents of about EXPANDED products
+                hi = int(np.searchsorted(doc, doc[min(len(doc) - 1, int(np.searchsorted(cost, (cost[lo - 1] if lo else 0) + EXPANDED)))], "right"))
+                first = doc[lo]
+                s = np.round(asked.scores(doc[lo:hi] - first, term[lo:hi], weight[lo:hi], int(doc[hi - 1] - first) + 1), digits)
+                yield np.where(s > 0, s, -np.inf), rule[first : doc[hi - 1] + 1]
+                lo = hi
+
+    return lambda batches: iter([_best(asked.ids, k, chunks(batches))])
 
 
 def hybrid(rankings: list[DataFrame], k: int, constant: int = 60, digits: int = 9) -> DataFrame:

@@ -56,6 +56,15 @@ def classifier_scores(pages: DataFrame) -> DataFrame:
     )
 
 
+def accuracy(suggested: DataFrame, expected: DataFrame, contender: list[str]) -> DataFrame:
+    """contender, cases, right, accuracy: how often suggested(contender, case_id, verdict) is expected(case_id, verdict); a case without a suggestion is wrong."""
+    contenders = suggested.select(*contender).distinct()
+    asked = expected.select("case_id", F.col("verdict").alias("expected_")).join(F.broadcast(contenders))
+    hit = F.col("verdict").eqNullSafe(F.col("expected_")).cast("int")
+    joined = asked.join(suggested.select(*contender, "case_id", "verdict"), [*contender, "case_id"], "left")
+    return joined.groupBy(*contender).agg(F.count("*").alias("cases"), F.sum(hit).alias("right"), F.round(F.avg(hit), 6).alias("accuracy"))
+
+
 def winner(scores: DataFrame, metric: str, contender: str = "contender") -> DataFrame:
     """scores with `winner`, true for the contender with the best metric (ties: the smallest name)."""
     best = scores.agg(F.min_by(contender, F.struct(-F.col(metric), F.col(contender))).alias("best"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tomllib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LEAF = "path array<string>, value string"
+from ..operators.layers import differences
 
 
 def _leaves(tree: object, path: list[str]) -> Iterator[tuple[list[str], str]]:
@@ -23,26 +25,36 @@ def _leaves(tree: object, path: list[str]) -> Iterator[tuple[list[str], str]]:
         yield path, str(tree).lower() if isinstance(tree, bool) else str(tree)
 
 
-def toml_leaves(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """layer, path, value of TOML files, later files being higher layers. A missing file is an error, as is bad syntax; leave out optional layers that are not there."""
+def _text(spark: SparkSession, path: str, required: bool) -> DataFrame | None:
+    try:
+        return spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if required or e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
-    @F.pandas_udf(f"array<struct<{LEAF.replace('path ', 'path: ').replace('value ', 'value: ')}>>")
+
+def toml_leaves(spark: SparkSession, paths: list[str], required: int = 1) -> DataFrame:
+    """layer, path, value of TOML files, later files being higher layers. The first `required` files must be there, others may be missing; bad syntax is an error."""
+
+    @F.pandas_udf("array<struct<path: array<string>, value: string>>")
     def parsed(content: pd.Series) -> pd.Series:
         return content.map(lambda text: [{"path": p, "value": v} for p, v in _leaves(tomllib.loads(text), [])])
 
-    out = None
-    for layer, path in enumerate(paths):
-        rows = spark.read.text(path, wholetext=True).select(F.lit(layer).alias("layer"), F.inline(parsed("value")))
-        out = rows if out is None else out.union(rows)
-    return out if out is not None else spark.createDataFrame([], f"layer int, {LEAF}")
+    read = [(layer, _text(spark, path, layer < required)) for layer, path in enumerate(paths)]
+    layers = [rows.select(F.lit(layer).alias("layer"), F.inline(parsed("value"))) for layer, rows in read if rows is not None]
+    return reduce(DataFrame.union, layers, spark.createDataFrame([], "layer int, path array<string>, value string"))
 
 
-def markdown_sources(spark: SparkSession, folder: str, skip: str = "SKILL.md") -> DataFrame:
-    """name (below the folder), content of every *.md at any depth but `skip`."""
+def markdown_sources(spark: SparkSession, folder: str, skip: str = "SKILL.md", required: str = "workflow.md") -> DataFrame:
+    """name (below the folder), content of every *.md at any depth but files called `skip`, in order of name; without `required` it is an error."""
     read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     full = F.col("_metadata.file_path")
     name = F.substring_index(full, folder.rstrip("/").rpartition("/")[2] + "/", -1)
-    return read.select(name.alias("name"), F.col("value").alias("content")).where(~F.endswith("name", F.lit(skip)))
+    found = read.select(name.alias("name"), F.col("value").alias("content")).where(F.substring_index("name", "/", -1) != skip)
+    if required and found.where(F.col("name") == required).isEmpty():
+        raise ValueError(f"{folder} has no {required}")
+    return found.orderBy("name")
 
 
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -75,12 +87,26 @@ def append(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, folder: str, name: str, digest: str) -> str:
-    """Write a content-addressed snapshot once; the path ends in the digest's first 20 characters, and one that is there stays as it is."""
+    """Write a content-addressed snapshot once; the path ends in the digest's first 20 characters. One that is there must hold the same rows, else it is an error."""
     path = f"{folder.rstrip('/')}/{name}-{digest[:20]}"
     df.write.mode("ignore").parquet(path)
+    there = df.sparkSession.read.parquet(path)
+    if there.columns != df.columns or not differences(there, df).isEmpty():
+        raise ValueError(f"{path} holds other rows")
     return path
 
 
+def export(tables: dict[str, DataFrame], folder: str) -> None:
+    """Ledger tables as CSV folders with headers, by name."""
+    for name, df in tables.items():
+        df.write.csv(f"{folder.rstrip('/')}/{name}", header=True, quote='"', escape='"')
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """One JSON text a row, indented by two blanks, non-ASCII letters as they are."""
+    return df.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
+
+
 def acknowledgement(path: Column, entries: Column) -> Column:
     return F.to_json(F.struct(F.lit(True).alias("ok"), path.alias("memlog"), entries.alias("entries")))
 

@@ -38,3 +38,17 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     """Take in all that is there now, append it to a Parquet folder and stop; the next call goes on from there."""
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint)
     writer.format("parquet").start(path).awaitTermination()
+
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Take in all that is there now in `update` mode; every batch's changed rows are kept with its number, once however often it is tried."""
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    stream.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(keep).start().awaitTermination()
+
+
+def latest(updates: DataFrame, key: str, value: str) -> DataFrame:
+    """The value of each key in the last batch(key, value, batch) that changed it."""
+    return updates.groupBy(key).agg(F.max_by(value, "batch").alias(value))

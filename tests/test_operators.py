@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidara.functions import text
-from evidara.operators import audit, evidence, gate, layers, ledger, retrieve, verdict
+from evidara.operators import audit, evidence, gate, layers, ledger, render, retrieve, verdict
 from evidara.sources import files
 
 
@@ -86,6 +86,38 @@ def test_closure_of_a_cycle_ends(spark):
     assert layers.closure(edges).count() == 9
 
 
+def test_closure_has_no_depth_limit(spark):
+    edges = spark.range(70).select(F.format_string("%d", "id").alias("parent"), F.format_string("%d", F.col("id") + 1).alias("node"))
+    assert layers.closure(edges).agg(F.count("*").alias("n"), F.max("depth").alias("d")).first()[:] == (70 * 71 // 2, 70)
+
+
+def test_rendering_errors(spark):
+    sources = lambda content: spark.createDataFrame([("a.md", content), ("b.md", None)], "name string, content string")
+    values = spark.createDataFrame([("short", "k", "{{.k}}")], "kind string, key string, value string")
+    assert collected(render.rendered(sources("{{.k}} [[snapshot:b.md]]"), values, "/d/"), "name", "content") == [("a.md", "{{.k}} /d/b.md"), ("b.md", None)]
+    with pytest.raises(Exception, match="missing value of config x"):
+        render.rendered(sources("{{config.x}}"), values, "/d").collect()
+    with pytest.raises(Exception, match=r"undeclared source: c\.md"):
+        render.rendered(sources("[[snapshot:c.md]]"), values, "/d").collect()
+    assert value(spark, render.string_list(F.lit('["a", "b"]'), "x")) == ["a", "b"] and value(spark, render.string_list(F.lit("[]"), "x")) == []
+    for bad in ('"a"', "[1]", '["a", " "]', "[", '[["a"]]'):
+        with pytest.raises(Exception, match="x must be a list of strings"):
+            value(spark, render.string_list(F.lit(bad), "x"))
+    with pytest.raises(Exception, match="x must not be empty"):
+        value(spark, render.non_empty(F.lit(" "), "x"))
+    layer = "k int, pos int, id string, name string, when string, instruction string"
+    with pytest.raises(Exception, match="id repeats"):
+        render.review_layers(spark.range(1).select(F.lit(1).alias("k")), spark.createDataFrame([(1, 1, "a", None, None, "x"), (1, 2, "a", None, None, "y")], layer), "k").collect()
+
+
+def test_keyword_search(spark):
+    rules = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, None), (4, ""), (5, "B c"), (6, "d")], "rule_id long, text string")
+    queries = spark.createDataFrame([(1, "b c c"), (2, "nothing"), (3, None), (4, "")], "query_id long, text string")
+    got = retrieve.keyword_top_k(queries, rules, 2).collect()
+    assert sorted((r["query_id"], r["rule_id"], r["rank"]) for r in got) == [(1, 2, 1), (1, 5, 2)] and len({r["score"] for r in got}) == 1
+    assert retrieve.keyword_top_k(queries, rules.limit(0), 2).count() == 0 and retrieve.keyword_top_k(queries.limit(0), rules, 2).count() == 0
+
+
 def test_aliases_and_roots(spark):
     rows, alias = spark.createDataFrame([("old",), ("kept",)], "id string"), spark.createDataFrame([("old", "new")], "id string, target string")
     assert collected(layers.current_ids(rows, alias, "id"), "id") == [("kept",), ("new",)]
@@ -101,8 +133,9 @@ def test_substitution_never_rescans(spark):
 
 
 def test_text_functions(spark):
-    doc = F.lit("{{config.a.b}} {{.key}} {workflow.x} [[snapshot:n.md]]")
+    doc = F.lit("{{config.a.b}} {{.key}} {{.no-key}} {workflow.x} [[snapshot:n.md]] [[x-snapshot:d/n.md]] [[snapshot:a b.md]]")
     assert [value(spark, text.tokens(doc, k)) for k in ("config", "short", "workflow", "snapshot")] == [["a.b"], ["key"], ["x"], ["n.md"]]
+    assert value(spark, text.tokens(doc, "snapshot", "x")) == ["d/n.md"]
     assert value(spark, text.slug(F.lit("  Über --Ärger 7! "))) == "ber-rger-7"
     assert value(spark, text.slug(F.lit("***"))) == "project"
     assert value(spark, text.one_line(F.lit(" a\n b\t c "))) == "a b c"
@@ -115,7 +148,9 @@ def test_text_functions(spark):
     assert value(spark, text.root_path(F.lit("x"), "/r")) is None
     assert value(spark, text.complete_tags(F.create_map(F.lit("env"), F.lit("dev")), ["env"]))
     assert tuple(value(spark, text.key_value(F.lit("a: b: c"), ":"))) == ("a", "b: c")
-    assert value(spark, text.section(F.lit("T"), F.lit(" "), F.lit("body"))) == "## T\n\nbody"
+    none = F.lit(None).cast("string")
+    assert value(spark, text.section(F.lit("i"), none, F.lit(" "), F.lit(" body "))) == "#### i (`i`)\n\nbody"
+    assert value(spark, text.section(F.lit("i"), F.lit("N"), F.lit("x"), F.lit("body"))) == "#### N (`i`)\n\nRun only when: x\n\nbody"
     assert value(spark, text.with_key(F.create_map(F.lit("a"), F.lit("1")), "a", F.lit("2"))) == {"a": "2"}
 
 
@@ -143,7 +178,17 @@ def test_files(spark, tmp_path):
     assert collected(files.catalogue(spark, str(tmp_path / "c.csv")), "name", "note") == [("x", 'a, "b"')]
     one, two = spark.range(3), spark.range(5)
     path = files.publish(one, str(tmp_path), "snap", "f" * 64)
-    assert files.publish(two, str(tmp_path), "snap", "f" * 64) == path and spark.read.parquet(path).count() == 3
+    assert files.publish(spark.range(3).orderBy(F.desc("id")), str(tmp_path), "snap", "f" * 64) == path and spark.read.parquet(path).count() == 3
+    for other in (two, one.withColumnRenamed("id", "other")):
+        with pytest.raises(ValueError, match="other rows"):
+            files.publish(other, str(tmp_path), "snap", "f" * 64)
+    assert files.toml_leaves(spark, [str(tmp_path / "base.toml"), str(tmp_path / "none.toml")]).count() == leaves.where("layer = 0").count()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.toml_leaves(spark, [str(tmp_path / "none.toml")])
+    (tmp_path / "md" / "XSKILL.md").write_text("kept")
+    assert [r["name"] for r in files.markdown_sources(spark, str(tmp_path / "md")).collect()] == ["XSKILL.md", "sub/x.md", "workflow.md"]
+    with pytest.raises(ValueError, match=r"no workflow\.md"):
+        files.markdown_sources(spark, str(tmp_path / "md" / "sub"))
 
 
 def test_trail_over_days_and_rates(spark):
@@ -157,8 +202,8 @@ def test_trail_over_days_and_rates(spark):
 def test_credentials(spark):
     at = lambda rows, schema, c: spark.createDataFrame(rows, schema).withColumn(c, F.col(c).cast("timestamp"))
     grants = at([(1, "2024-01-01 10:00:00")], "r int, issued string", "issued")
-    uses = at([(1, "2024-01-01 10:05:00"), (1, "2024-01-01 10:05:01"), (1, "2024-01-01 09:59:59"), (2, "2024-01-01 10:01:00")], "r int, ts string", "ts")
-    assert [x[0] for x in collected(audit.credentials_in_force(uses, grants, ["r"], 5).orderBy("ts"), "valid")].count(True) == 1
+    uses = at([(1, 1, "2024-01-01 10:05:00"), (2, 1, "2024-01-01 10:05:01"), (3, 1, "2024-01-01 09:59:59"), (4, 2, "2024-01-01 10:01:00"), (5, 1, "2024-01-01 10:00:00")], "use int, r int, ts string", "ts")
+    assert collected(audit.credentials_in_force(uses, grants, ["r"], 5, "use"), "use", "valid") == [(1, True), (2, False), (3, False), (4, False), (5, True)]
 
 
 def test_ledger(spark):
