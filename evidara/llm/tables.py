@@ -66,6 +66,11 @@ def running(df: DataFrame, group: list[str], order: list[Column], value: Column,
     return null_safe_join(summed, lifted, ["part_", *group]).select(*df.columns, (F.col("within_") + F.col("before_")).alias(name))
 
 
+def sampled(key: str, share: float) -> Column:
+    """About that share of the rows by a hash of the key, however small the share is."""
+    return F.xxhash64(F.lit(7), key) <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * 2.0**64)))
+
+
 #: Bits of one row that Spark's bitmap functions give.
 BUCKET_BITS = 15
 
