@@ -9,11 +9,15 @@ window without a change. Scattered edits are found as far as a window stays with
 Fingerprints are 64-bit SimHashes of the words; the index cuts them into four
 16-bit parts and holds each part with all its one-bit changes, so every pair within a Hamming
 distance of RADIUS = 7 agrees in a part and is found. A candidate names an item and where it begins; the
-similarity there is exact: the weighted Jaccard similarity of five-word shingles, each shingle
-weighing log(1 + items / items that hold it).
+similarity there is exact: the weighted Jaccard similarity of five-word shingles, the item's shingles
+weighing log(1 + items / items that hold them) over the whole benchmark, all others log(1 + items).
+Words may have been put in or left out, so of all windows whose ends lie up to a quarter of the item's
+length (and a word) from where they would be expected, the most similar one counts.
 
 The benchmark is split by hash into parts of about PART bytes and each is a pass over the documents:
-what a task holds is bounded, and no item is left out. Documents are not shuffled.
+what a task and the driver hold is bounded, no item is left out, and what a part finds does not depend
+on how the benchmark was split. Documents are not shuffled, but where there are several parts `clean`
+joins them with the found ones.
 
 Defined cases: null or empty texts match nothing; an item of fewer than five words is one shingle;
 items with equal texts all match; repeated rows are each reported; a null doc_id is reported as
@@ -22,6 +26,7 @@ null; extra columns are ignored; an empty table on either side gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,10 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import cut
 from .textarrays import NOT_SPACE, Hasher, lowered, shingles, text_slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-PART = 8 << 20
+PART = 4 << 20
 RADIUS = 7
 BITS, PARTS = 64, 4
 
@@ -96,40 +102,35 @@ class BitSums:
 class Index:
     """Fingerprints of one part of the benchmark, by window size."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], total: int, known: np.ndarray, holders: np.ndarray) -> None:
+        """Of the benchmark's `total` items some; known are these items' shingles in order, holders how many items of the whole benchmark hold each."""
         hasher = Hasher()
         self.ids = [i for i, _ in items]
-        self.shingles: list[tuple[np.ndarray, np.ndarray]] = []  # distinct ones in order, and how often each
+        self.shingles: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # distinct ones in order, how often each, and its weight
         self.lengths: list[int] = []
-        entries: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        texts: list[tuple[np.ndarray, np.ndarray]] = []  # hashes of the words and of the shingles, in order
-        for _, text in items:
-            data = lowered(np.frombuffer((text or "").encode(), np.uint8))
-            starts, ends, first = words(data, np.array([0, len(data)]), NOT_SPACE)
-            h = hasher.of(data, starts, ends)
-            made = shingles(h, first, SHINGLE)[0]
-            self.shingles.append(np.unique(made, return_counts=True))
+        self.unseen = math.log(1 + total)
+        entries: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        weigh = lambda s: np.log(1 + total / holders[np.searchsorted(known, s)])
+        for k, (_, text) in enumerate(items):
+            h, made = words_and_shingles(text, hasher)
+            distinct, n = np.unique(made, return_counts=True)
+            self.shingles.append((distinct, n, weigh(distinct)))
             self.lengths.append(len(h))
-            texts.append((h, made))
-        self.known, holders = np.unique(np.concatenate([s for s, _ in self.shingles]), return_counts=True)
-        self.known_weight, self.unseen = np.log(1 + len(items) / holders), math.log(1 + len(items))
-        for k, (h, made) in enumerate(texts):
             if len(h):
                 large = window_of(len(h))
-                for w in {large, min(large, fitting(clean_run(self.weights(made), len(h))))}:
+                for w in {large, min(large, fitting(clean_run(weigh(made), len(h))))}:
                     at = np.arange(len(h) - w + 1)
-                    entries[w] += [(f, k, o) for f, o in zip(BitSums(h, w).fingerprints(at, w).tolist(), at.tolist(), strict=True)]
+                    entries[w].append((BitSums(h, w).fingerprints(at, w), np.stack([np.full(len(at), k), at], 1).astype(np.int32)))
         self.tables = {}
+        flips = np.concatenate([[0], 1 << np.arange(16)]).astype(np.uint64)
         for w, rows in entries.items():
-            prints = np.array([r[0] for r in rows], np.uint64)
-            who = np.array([r[1:] for r in rows])
-            flips = np.concatenate([[0], 1 << np.arange(16)]).astype(np.uint64)
+            prints, who = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
             parts = []
             for p in range(PARTS):
-                value = (((prints >> np.uint64(16 * p)) & np.uint64(0xFFFF))[:, None] ^ flips).astype(np.int64)
+                value = (((prints >> np.uint64(16 * p)) & np.uint64(0xFFFF))[:, None] ^ flips).astype(np.uint16)
                 order = np.argsort(value.ravel(), kind="stable")
                 begin = np.searchsorted(value.ravel()[order], np.arange(65537))
-                parts.append((begin, (order // len(flips)).astype(np.int64)))
+                parts.append((begin, (order // len(flips)).astype(np.int32)))
             self.tables[w] = (prints, who, parts)
 
     def candidates(self, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
@@ -161,18 +162,50 @@ class Index:
                 found.update(zip(row[window].tolist(), who[e, 0].tolist(), (place[window] - who[e, 1]).tolist(), strict=True))
         return found
 
-    def weights(self, s: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        return np.where(self.known[at] == s, self.known_weight[at], self.unseen)
-
     def similarity(self, item: int, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of the item's shingles and a window's, repeats counted."""
-        mine, n = self.shingles[item]
+        mine, n, weight = self.shingles[item]
         theirs, m = np.unique(window, return_counts=True)
+        if not len(theirs):
+            return 0.0
         at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-        weight = self.weights(mine)
-        both = float((weight * np.where(theirs[at] == mine, np.minimum(n, m[at]), 0)).sum()) if len(theirs) else 0.0
-        return both / (float((weight * n).sum()) + float((self.weights(theirs) * m).sum()) - both)
+        same = np.where(theirs[at] == mine, m[at], 0)
+        both = float((weight * np.minimum(n, same)).sum())
+        other = self.unseen * float(m.sum() - same.sum()) + float((weight * np.maximum(same - n, 0)).sum())
+        return both / (float((weight * n).sum()) + other)
+
+    def best_window(self, item: int, made: np.ndarray, place: int, words: int) -> tuple[float, int, int]:
+        """Similarity, first word and word after the last of the window most like the item, its ends near place and place + length, in a row of so many words with the shingles `made`.
+
+        Sums along the row bound each window's similarity (repeats aside, they are it), so few are worked out.
+        """
+        length = self.lengths[item]
+        mine, n, weight = self.shingles[item]
+        room = length // 4 + 1
+        if length < SHINGLE or words < SHINGLE:
+            lo, hi = max(0, place), min(words, place + length)
+            # one shingle: the whole sequence
+            return (self.similarity(item, made[lo:hi]) if words < SHINGLE else 0.0, lo, hi)
+        first, last = max(0, place - room), min(len(made), place + length - SHINGLE + 1 + room)
+        begin = np.arange(first, max(first, min(place + room, len(made) - 1)) + 1)
+        end = np.arange(max(1, min(place + length - SHINGLE + 1 - room, last)), max(1, last) + 1)
+        near = made[first:last]
+        at = np.minimum(np.searchsorted(mine, near), len(mine) - 1)
+        inside = mine[at] == near
+        total = lambda v: np.concatenate([np.zeros(first + 1), np.cumsum(v)])
+        both, other = total(np.where(inside, weight[at], 0.0)), total(np.where(inside, 0.0, self.unseen))
+        span = end[None] > begin[:, None]
+        alike = np.where(span, both[end][None] - both[begin][:, None], 0.0)
+        bound = alike / (np.maximum(float((weight * n).sum()), alike) + np.where(span, other[end][None] - other[begin][:, None], 0.0))
+        best = (0.0, 0, 0)
+        for k in np.argsort(-bound, axis=None, kind="stable"):
+            i, j = divmod(int(k), len(end))
+            if bound[i, j] < SIMILARITY or bound[i, j] <= best[0]:
+                break
+            exact = self.similarity(item, made[begin[i] : end[j]])
+            if exact > best[0]:
+                best = (exact, int(begin[i]), int(end[j]) + SHINGLE - 1)
+        return best
 
     def matches(self, data: np.ndarray, off: np.ndarray, hasher: Hasher) -> list[tuple[int, int, float, int, int]]:
         """(row, item's place, similarity, first word, word after the last) of the best window for each row and item that reaches SIMILARITY."""
@@ -182,25 +215,53 @@ class Index:
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         of_row, made = -1, np.zeros(0, np.uint64)
         for row, item, place in sorted(self.candidates(h, first)):
+            mine = h[first[row] : first[row + 1]]
             if row != of_row:
-                of_row, (made, _) = row, shingles(h[first[row] : first[row + 1]], np.array([0, first[row + 1] - first[row]]), SHINGLE)
-            lo, hi = max(0, place), min(int(first[row + 1] - first[row]), place + self.lengths[item])
-            window = made[lo : hi - SHINGLE + 1] if hi - lo >= SHINGLE else shingles(h[first[row] + lo : first[row] + hi], np.array([0, hi - lo]), SHINGLE)[0]
-            alike = self.similarity(item, window)
-            if alike >= SIMILARITY and alike > best.get((row, item), (0.0,))[0]:
-                best[row, item] = (alike, lo, hi)
+                of_row, (made, _) = row, shingles(mine, np.array([0, len(mine)]), SHINGLE)
+            if self.lengths[item] < SHINGLE:  # one shingle, the whole sequence
+                lo, hi = max(0, place), min(len(mine), place + self.lengths[item])
+                found = (self.similarity(item, shingles(mine[lo:hi], np.array([0, hi - lo]), SHINGLE)[0]), lo, hi)
+            else:
+                found = self.best_window(item, made, place, len(mine))
+            if found[0] >= SIMILARITY and found[0] > best.get((row, item), (0.0,))[0]:
+                best[row, item] = found
         return [(r, i, *v) for (r, i), v in best.items()]
 
 
+def words_and_shingles(text: str, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words and of its shingles, in order."""
+    data = lowered(np.frombuffer(text.encode(), np.uint8))
+    starts, ends, first = words(data, np.array([0, len(data)]), NOT_SPACE)
+    h = hasher.of(data, starts, ends)
+    return h, shingles(h, first, SHINGLE)[0]
+
+
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each item, with its part."""
+    hasher = Hasher()
+    for b in batches:
+        for part, text in zip(b.column("part").to_pylist(), b.column("text").to_pylist(), strict=True):
+            made = np.unique(words_and_shingles(text, hasher)[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made), part), pa.int32()), pa.array(made.view(np.int64))], ["part", "shingle"])
+
+
 def benchmark_parts(benchmark: DataFrame) -> Iterator[Index]:
     """The benchmark's indexes, one part after the other; a part is what its hash says and about PART bytes."""
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
-    parts = max(1, -(-int(total) // PART))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("bytes"), F.count("*").alias("items")).first()
+    parts = max(1, -(-int(size["bytes"]) // PART))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    held = items.select("part", "text").mapInArrow(_item_shingles, "part int, shingle long")
+    holders = cut(held.groupBy("shingle").agg(F.count("*").alias("holders")))
+    known = cut(held.distinct().join(holders, "shingle"))
     for k in range(parts):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()
+        part = items.where(F.col("part") == k).collect()
         if part:
-            yield Index(sorted((r["item_id"], r["text"]) for r in part))
+            # as many rows as the part has shingles
+            weights = known.where(F.col("part") == k).select("shingle", "holders").toArrow()
+            shingle = weights["shingle"].to_numpy().view(np.uint64)
+            order = np.argsort(shingle)
+            yield Index(sorted((r["item_id"], r["text"]) for r in part), size["items"], shingle[order], weights["holders"].to_numpy()[order])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -219,24 +280,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, end_word long")
 
-    parts = [found(i) for i in benchmark_parts(benchmark)]
+    # written down part by part, so that the driver holds one index at a time
+    parts = [cut(found(i)) for i in benchmark_parts(benchmark)]
     return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long, end_word long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
 
-    def keep(index: Index):
+    def hits(index: Index, table: DataFrame, keep: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hasher = Hasher()
             for b in batches:
-                ok = np.ones(b.num_rows, bool)
+                ok = np.full(b.num_rows, keep)
                 for lo, _, data, off in text_slices(b.column("text")):
-                    ok[[lo + m[0] for m in index.matches(data, off, hasher)]] = False
+                    ok[[lo + m[0] for m in index.matches(data, off, hasher)]] = not keep
                 yield b.filter(pa.array(ok))
 
-        return run
-
-    for index in benchmark_parts(benchmark):
-        docs = docs.mapInArrow(keep(index), docs.schema)
-    return docs
+        return table.mapInArrow(run, table.schema)
+
+    indexes = benchmark_parts(benchmark)
+    first, second = next(indexes, None), next(indexes, None)
+    if first is None:
+        return docs
+    if second is None:
+        return hits(first, docs, keep=True)
+    key = ["t1", "t2"]
+    hashed = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
+    texts = docs.select("text", *hashed)
+    found = [cut(hits(i, texts, keep=False).select(*key)) for i in itertools.chain([first, second], indexes)]
+    # the whole row is one column beside the join's, so no extra column can clash
+    rows = docs.select(F.struct("*").alias("row"), *hashed)
+    return rows.join(reduce(DataFrame.union, found).distinct(), key, "left_anti").select("row.*")
