@@ -13,6 +13,10 @@ the pairs grow with the entities' mentions and not with the square of anything.
 the texts finds the places: a bit table of fixed size lets all disclosing terms through and few
 others, and a join on the term settles it.
 
+A word is a run of ASCII letters and non-ASCII characters, however long; in scripts without blanks a
+whole run is one word. Pairs that only one document holds (MIN_SUPPORT) disclose nothing, so what adds
+terms is an entity that several documents name.
+
 Defined cases: null text counts as empty and has no spans; a null doc_id is kept; repeated rows are
 documents of their own (and support each other); extra columns are ignored; an empty table gives no
 rows.
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -31,14 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.words import ascii_lower
-from .tables import bit_table, cut
+from .tables import bit_table, cut, small
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, REACH = 8, 240
+WINDOW = 8
 MIN_SUPPORT, GENERALISE, REMOVE = 2, 0.75, 0.95
 MIN_TERM = 3
 TABLE_BITS = 22
-BROADCAST = 8 << 20
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -101,20 +104,17 @@ def lowered(text: str) -> str:
 
 
 def nearby(text: str, found: dict[str, list[tuple[int, int]]]) -> list[tuple[str, str]]:
-    """(entity, term) of the terms within the window of each entity and outside all entities; a term that the reach cuts is taken whole."""
+    """(entity, term) of the terms among the WINDOW words before and after each entity and outside all entities."""
     free = outside(found)
+    words = [m.span() for m in TERM.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
     out = []
     for kind, spans in found.items():
         for a, b in spans:
             entity = f"{kind}:{hashlib.md5(text[a:b].encode(errors='replace')).hexdigest()}"
-            lo, hi = max(0, a - REACH), min(len(text), b + REACH)
-            while 0 < lo < a and TERM.match(text[lo - 1]):
-                lo -= 1
-            if hi < len(text) and TERM.match(text[hi - 1]) and (m := TERM.match(text, hi)):
-                hi = m.end()
-            before = [m.span() for m in TERM.finditer(text, lo, a)]
-            after = [m.span() for m in TERM.finditer(text, b, hi)]
-            for s, e in before[-WINDOW:] + after[:WINDOW]:
+            # a run of letters that goes on beside the entity counts as the word next to it
+            before, after = bisect_right(ends, a), bisect_left(starts, b)
+            for s, e in words[max(0, before - WINDOW) : before] + words[after : after + WINDOW]:
                 if e - s >= MIN_TERM and free(s, e):
                     out.append((entity, text[s:e].translate(LOWER)))
     return out
@@ -181,9 +181,10 @@ def disclosing(docs: DataFrame) -> DataFrame:
     holders = once.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     pairs = cut(pairs.join(holders, "entity"))
     term = F.explode(F.array_distinct(F.split(ascii_lower(F.col("text")), NOT_TERM)))
-    frequency = docs.select(term.alias("term")).where(F.length("term") >= MIN_TERM).groupBy("term").agg(F.count("*").alias("with_term"))
+    # where the terms in question are few, the others leave the texts' own tasks no more
+    terms = docs.select(term.alias("term")).join(small(pairs.select("term").distinct()), "term", "left_semi")
+    frequency = terms.groupBy("term").agg(F.count("*").alias("with_term"))
     n = docs.count()
-    frequency = frequency.join(pairs.select("term").distinct(), "term", "left_semi")
     pmi = F.log2(F.col("both") * F.lit(float(max(n, 1))) / (F.col("with_entity") * F.col("with_term")))
     own = F.log2(F.lit(float(max(n, 1))) / F.col("with_entity"))
     ratio = pairs.join(frequency, "term").select("term", F.when(own > 0, pmi / own).alias("ratio")).where(F.col("ratio") >= GENERALISE)
@@ -193,13 +194,11 @@ def disclosing(docs: DataFrame) -> DataFrame:
 def find(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """row (a key of the input row), doc_id, n_<kind>, base (kind:start:end, comma-joined), terms (array of start, end, action), and text if kept."""
     docs = docs.select("doc_id", "text")
-    actions = cut(disclosing(docs))
+    actions = small(disclosing(docs))
     table = bit_table(actions.select(F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(1 << TABLE_BITS)).alias("bit")), TABLE_BITS)
     # the row's key is fixed by writing it down
     found = cut(docs.mapInArrow(lambda batches: _find(batches, keep_text, table), FOUND + ", text string" * keep_text).withColumn("row", F.monotonically_increasing_id()))
     # a term may stand in a third of the documents: short lists are joined without dealing by term
-    if (actions.agg(F.sum(F.octet_length("term") + 32).alias("n")).first()["n"] or 0) <= BROADCAST:
-        actions = F.broadcast(actions)
     places = found.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*").join(actions, "term")
     # a document's terms are as many as it has words
     terms = places.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))

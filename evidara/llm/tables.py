@@ -66,6 +66,18 @@ def running(df: DataFrame, group: list[str], order: list[Column], value: Column,
     return null_safe_join(summed, lifted, ["part_", *group]).select(*df.columns, (F.col("within_") + F.col("before_")).alias(name))
 
 
+#: Bytes of a table that may be broadcast.
+SMALL = 8 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, written down, with a broadcast hint if its size, which is measured, allows it."""
+    df = cut(df)
+    width = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes]
+    size = df.agg(F.coalesce(F.sum(reduce(lambda a, b: a + b, width) + 32), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if size <= SMALL else df
+
+
 def sampled(key: str, share: float) -> Column:
     """About that share of the rows by a hash of the key, however small the share is."""
     return F.xxhash64(F.lit(7), key) <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * 2.0**64)))
