@@ -1,7 +1,9 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features for the rest (DataFrame functions and MLlib only).
 
-URLs that a rule fits are the labelled ones; a bounded sample of them trains the trees, which judge
-every URL that no rule fits.
+URLs that a rule fits are the labelled ones; a bounded sample of the distinct ones trains the trees,
+which judge every URL that no rule fits. A suffix's block rate is of the labelled URLs of other hosts
+than the row's own, for rows that are learned from and rows that are judged alike, so no row's label
+comes back to it as a feature.
 
 Defined cases: a null URL or one without `://` has an empty host and path, no rule, and is judged by
 its features; with labels of one class only, that class is the verdict for all; without any label
@@ -20,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.words import ascii_lower
-from .tables import cut
+from .tables import cut, sampled, small
 
 # Verdict, host, path prefix.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-#: At most about so many labelled URLs train the trees; they are those with the smallest hashes.
+#: At most about so many distinct labelled URLs train the trees; they are those with the smallest hashes.
 MAX_TRAIN = 20_000
 ROUNDS, DEPTH, BINS = 12, 4, 32
 FEATURES = ["length", "host_length", "path_length", "depth", "host_dots", "hyphens", "digit_ratio", "entropy", "parameters", "suffix_share", "suffix_block_rate", "label_share", "label_block_rate"]
@@ -52,12 +54,9 @@ def _entropy(text: Column) -> Column:
     return F.when(n > 0, F.aggregate(bits, F.lit(0.0), lambda a, p: F.when(p > 0, a - p * F.log2(p)).otherwise(a))).otherwise(F.lit(0.0))
 
 
-def _statistics(rows: DataFrame, key: str, n: int, blocked: float) -> DataFrame:
-    """Share of all rows, and smoothed share of block among labelled rows, by key; one row per key after a map-side sum."""
-    return rows.groupBy(key).agg(
-        (F.count("*") / F.lit(max(n, 1))).alias(f"{key}_share"),
-        ((F.count(F.when(F.col("label") == 1, 1)) + F.lit(10 * blocked)) / (F.count("label") + F.lit(10))).alias(f"{key}_block_rate"),
-    )
+def _totals(rows: DataFrame, key: str) -> DataFrame:
+    """Rows, labelled rows and blocked ones by key; one row per key after a map-side sum."""
+    return small(rows.groupBy(key).agg(F.count("*").alias(f"{key}_n"), F.count("label").alias(f"{key}_labelled"), F.coalesce(F.sum("label"), F.lit(0)).alias(f"{key}_blocked")))
 
 
 def featured(rows: DataFrame) -> DataFrame:
@@ -78,13 +77,15 @@ def featured(rows: DataFrame) -> DataFrame:
             "entropy": _entropy(url),
             "parameters": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))),
         }
-    ).withColumn("label_", F.lower(F.substring_index("suffix", ".", -1)))
+    ).withColumn("top", F.lower(F.substring_index("suffix", ".", -1)))
     totals = rows.agg(F.count("*"), F.count("label"), F.coalesce(F.sum("label"), F.lit(0))).first()
     blocked = totals[2] / totals[1] if totals[1] else 0.0
-    top = rows.select(F.col("label_").alias("label_key"), "label")
-    by_suffix = _statistics(rows, "suffix", totals[0], blocked)
-    by_label = _statistics(top.select(F.col("label_key").alias("top"), "label"), "top", totals[0], blocked).select(F.col("top").alias("label_"), F.col("top_share").alias("label_share"), F.col("top_block_rate").alias("label_block_rate"))
-    return rows.join(by_suffix, "suffix", "left").join(by_label, "label_", "left")
+    for key in ("suffix", "top", "host"):
+        rows = rows.join(_totals(rows.select(key, "label"), key), key)
+    for key, name in (("suffix", "suffix"), ("top", "label")):
+        others = F.col(f"{key}_labelled") - F.col("host_labelled") + 10
+        rows = rows.withColumns({f"{name}_share": F.col(f"{key}_n") / F.lit(max(totals[0], 1)), f"{name}_block_rate": (F.col(f"{key}_blocked") - F.col("host_blocked") + F.lit(10 * blocked)) / others})
+    return rows
 
 
 def judge(pages: DataFrame) -> DataFrame:
@@ -94,10 +95,10 @@ def judge(pages: DataFrame) -> DataFrame:
     final = lambda df, score: df.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(score >= 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
     if len(counts) < 2:
         return final(rows, F.lit(1.0 if 1 in counts else 0.0))
-    share = min(1.0, MAX_TRAIN / sum(counts.values()))
-    chosen = (F.xxhash64("url") % 1_000_000 + 1_000_000) % 1_000_000 < F.lit(round(share * 1_000_000))
     pack = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
-    train = cut(pack.transform(rows.where(F.col("label").isNotNull() & chosen)).select("features", F.col("label").cast("double")).repartition(6))
+    labelled = rows.where("label is not null").dropDuplicates(["url"])
+    chosen = labelled.where(sampled("url", MAX_TRAIN / max(1, labelled.count())))
+    train = cut(pack.transform(chosen).select("features", F.col("label").cast("double")).repartition(6))
     if train.select("label").distinct().count() < 2:
         return final(rows, F.lit(1.0 if counts[1] > counts[0] else 0.0))
     model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, maxBins=BINS, seed=7).fit(train)
