@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut, null_safe_join, running
+from .tables import cut, null_safe_join, running, small
 
 CAP = 3
 MICRO = 1_000_000
@@ -83,8 +83,8 @@ def tilts(sized: DataFrame, goals: DataFrame) -> DataFrame:
         tilt = F.when(F.abs("off") <= TOLERANCE, F.col("tilt")).when(inside, step).otherwise((F.col("lo") + F.col("hi")) / 2)
         state = cut(at.select("source", "target", "mean", "full", tilt.alias("tilt"), "lo", "hi", F.abs("off").alias("off")))
         if (state.agg(F.max("off").alias("off")).first()["off"] or 0) <= TOLERANCE:
-            break
-    return state.select("source", "mean", "tilt", "full")
+            return state.select("source", "mean", "tilt", "full")
+    raise ArithmeticError(f"{ROUNDS} Newton rounds did not bring every source within {TOLERANCE} of its target")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -92,7 +92,8 @@ def mix(docs: DataFrame) -> DataFrame:
     sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size")))
     goals = targets(sized)
     solved = tilts(sized, goals)
-    sources = null_safe_join(goals, solved, ["source"], "left")
+    # one row a source; where they are few, a source with a third of all rows is not dealt to one task
+    sources = small(null_safe_join(goals, solved, ["source"], "left"))
     rated = null_safe_join(sized, sources, ["source"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce(_micro("tilt", F.col("full")), F.lit(MICRO)).alias("micro"))
     order = [F.col("source").asc_nulls_last(), F.col("size").asc(), F.xxhash64("doc_id").asc(), F.col("doc_id").asc()]
     summed = running(rated, ["source"], order, F.col("micro"), "upto")
@@ -102,7 +103,7 @@ def mix(docs: DataFrame) -> DataFrame:
     begin = [k * MICRO // PHASES for k in range(PHASES)]
     totals = summed.groupBy("source").agg(*[F.sum(copies(F.lit(p)) * F.col("size")).alias(f"p{k}") for k, p in enumerate(begin)], F.first("target").alias("goal"))
     best = totals.select("source", F.array_min(F.array(*[F.struct(F.abs(F.col(f"p{k}") - F.col("goal")).alias("off"), F.lit(p).alias("phase")) for k, p in enumerate(begin)]))["phase"].alias("phase"))
-    taken = null_safe_join(summed, best, ["source"], "left").select("doc_id", "source", "size", "source_size", "target", copies(F.col("phase")).alias("copies"))
+    taken = null_safe_join(summed, small(best), ["source"], "left").select("doc_id", "source", "size", "source_size", "target", copies(F.col("phase")).alias("copies"))
     return taken.withColumn("taken", F.col("copies") * F.col("size"))
 
 
