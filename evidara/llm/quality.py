@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import sampled
 from .textarrays import NOT_SPACE, Hasher, byte_set, lowered, text_slices, words
 
 PASSAGE = 48
-#: About so many labelled documents at most train the model, those with the smallest hashes, and none of more than MAX_PASSAGES passages.
+#: About so many labelled documents at most train the model, those with the smallest hashes; of one with more than MAX_PASSAGES passages so many, spread over the whole text.
 MAX_TRAIN, MAX_PASSAGES = 4_000, 2_000
-HIDDEN, ATTENTION, EPOCHS, RATE, DECAY = 16, 8, 400, 0.02, 1e-4
+HIDDEN, ATTENTION, RATE, DECAY = 16, 8, 0.02, 1e-4
+#: Documents of a step, passes over the documents, and passes without a lower loss after which learning ends.
+BATCH, EPOCHS, PATIENCE = 256, 60, 8
 THRESHOLD = 0.7
 
 CLASSES = [
@@ -112,17 +115,33 @@ class Model:
 
 
 def fit(x: np.ndarray, begin: np.ndarray, y: np.ndarray) -> Model:
-    """Full-batch Adam from a fixed start on a bounded set of bags."""
+    """Adam over batches of a bounded set of bags, from a fixed start in a fixed order; the pass with the lowest loss counts."""
     r = np.random.default_rng(5)
     draw = lambda *s: r.normal(0, 1 / np.sqrt(s[0]), s)
     m = Model(x.mean(0), x.std(0) + 1e-6, {"w": draw(N_FEATURES, HIDDEN), "wb": np.zeros(HIDDEN), "v": draw(HIDDEN, ATTENTION), "u": draw(HIDDEN, ATTENTION), "a": draw(ATTENTION), "c": draw(HIDDEN), "cb": np.zeros(())})
     one, two = ({k: np.zeros_like(v) for k, v in m.p.items()} for _ in range(2))
-    for t in range(1, EPOCHS + 1):
-        for k, g in m.gradients(m.forward(x, begin), begin, y).items():
-            one[k] = 0.9 * one[k] + 0.1 * g
-            two[k] = 0.999 * two[k] + 0.001 * g * g
-            m.p[k] = m.p[k] - RATE * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.999**t)) + 1e-8)
-    return m
+    best, least, worse, t = dict(m.p), np.inf, 0, 0
+    for epoch in range(EPOCHS):
+        order, loss, rate = r.permutation(len(y)), 0.0, RATE * 0.95**epoch
+        for lo in range(0, len(y), BATCH):
+            some = order[lo : lo + BATCH]
+            n = begin[some + 1] - begin[some]
+            at = np.concatenate([[0], np.cumsum(n)])
+            rows = np.repeat(begin[some] - at[:-1], n) + np.arange(at[-1])
+            v = m.forward(x[rows], at)
+            loss -= np.log(np.where(y[some] == 1, v["y"], 1 - v["y"])).sum()
+            t += 1
+            for k, g in m.gradients(v, at, y[some]).items():
+                one[k] = 0.9 * one[k] + 0.1 * g
+                two[k] = 0.999 * two[k] + 0.001 * g * g
+                m.p[k] = m.p[k] - rate * (one[k] / (1 - 0.9**t)) / (np.sqrt(two[k] / (1 - 0.999**t)) + 1e-8)
+        if loss < least - 1e-3 * len(y):
+            best, least, worse = dict(m.p), loss, 0
+        elif (worse := worse + 1) == PATIENCE:
+            break
+        elif loss < least:
+            best, least = dict(m.p), loss
+    return Model(m.mean, m.scale, best)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -135,17 +154,17 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = b.column("y").to_numpy(zero_copy_only=False)
         for lo, hi, data, off in text_slices(b.column("text")):
             x, begin = passages(data, off, hasher)
-            bag = [x[i:j].astype(np.float32).tobytes() for i, j in zip(begin, begin[1:], strict=False)]
+            spread = lambda i, j: np.arange(i, j) if j - i <= MAX_PASSAGES else i + np.arange(MAX_PASSAGES) * (j - i) // MAX_PASSAGES
+            bag = [x[spread(i, j)].astype(np.float32).tobytes() for i, j in zip(begin, begin[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([pa.array(bag, pa.binary()), pa.array(y[lo:hi], pa.int32())], ["bag", "y"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | float:
     """The model, or the share of label 1 where the usable labels don't hold two classes."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("y"))
-    share = min(1.0, MAX_TRAIN / max(1, usable.count()))
-    chosen = usable.where((F.xxhash64("doc_id") % 1_000_000 + 1_000_000) % 1_000_000 < F.lit(round(share * 1_000_000)))
+    chosen = usable.where(sampled("doc_id", MAX_TRAIN / max(1, usable.count())))
     # about MAX_TRAIN rows of two numbers: safe to broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(_bags, "bag binary, y int").where(F.length("bag") <= 4 * N_FEATURES * MAX_PASSAGES).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y").mapInArrow(_bags, "bag binary, y int").collect()
     y = np.array([r["y"] for r in rows], float)
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 1.0
