@@ -1,7 +1,7 @@
 """Language-model scores from a lattice over an existing subword vocabulary.
 
-The vocabulary file's pieces and their order are given and never trained; the order sets first
-weights, and one pass of expected counts over the training words (forward-backward over every
+The vocabulary file's pieces and their order are given and never trained. No unigram vocabulary with
+scores is at hand, the file is of byte pairs; so its order sets first weights, and one pass of expected counts over the training words (forward-backward over every
 segmentation) turns them into probabilities. A text's probability is the product over its words of
 the summed probability of all segmentations of the word into pieces, and of the end mark; the sum
 is a log-space forward recursion. Beside it stands an add-one word model over the same training
@@ -19,6 +19,8 @@ extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ BLOCK = 24 << 20
 #: Words of a block whose lattices are built at once.
 CHUNK = 40_000
 SMOOTHING = 0.1
+#: Edges of one depth that are few.
+FEW = 24
 MARK = 0x20  # stands for the vocabulary's word mark; no word holds it
 
 
@@ -96,12 +100,22 @@ class Lattice:
         order = np.lexsort((z, depth))
         a, z, lp, depth = a[order], z[order], lp[order], depth[order]
         bounds = np.flatnonzero(np.concatenate([[True], depth[1:] != depth[:-1]])) if len(depth) else np.zeros(0, int)
-        for i, j in zip(bounds, [*bounds[1:], len(depth)], strict=True):
+        ends = np.append(bounds[1:], len(depth)).astype(int)
+        many = np.flatnonzero(ends - bounds > FEW)
+        tail = int(many[-1]) + 1 if len(many) else 0
+        for i, j in zip(bounds[:tail], ends[:tail], strict=True):
             value, to = f[a[i:j]] + lp[i:j], z[i:j]
             first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
             top = np.maximum.reduceat(value, first)
             f[to[first]] = top + np.log10(np.add.reduceat(10.0 ** (value - np.repeat(top, np.diff(np.append(first, j - i)))), first))
-        return f
+        if tail < len(bounds):  # what the longest words have left: few edges a depth, for which plain numbers do
+            begin = bounds[tail]
+            f, todo = f.tolist(), zip(a[begin:].tolist(), z[begin:].tolist(), lp[begin:].tolist(), strict=True)
+            for to, some in itertools.groupby(todo, key=lambda e: e[1]):
+                value = [f[at] + p for at, _, p in some]
+                top = max(value)
+                f[to] = top + math.log10(sum(10.0 ** (v - top) for v in value)) if top > -math.inf else top
+        return np.asarray(f)
 
     def run(self, data: np.ndarray, off: np.ndarray, weight: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities of the words data[off[i]:off[i + 1]], and the expected counts of the pieces, each word `counts` times."""

@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once; one longer text makes a slice of its own.
 SLICE = 2 << 20
+#: Bytes whose hashes are summed at once.
+STEP = 4 << 20
 
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -83,7 +85,20 @@ class Hasher:
         self.up = self.down = np.ones(1, np.uint64)
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """One hash for each word, from sum(byte * BASE ** place) mod 2 ** 64 within it."""
+        """One hash for each word, from sum(byte * BASE ** place) mod 2 ** 64 within it; starts and ends ascend.
+
+        A long text is taken in steps, so memory follows its longest word at most.
+        """
+        if len(data) <= STEP:
+            return self._of(data, starts, ends)
+        out, lo = np.empty(len(starts), np.uint64), 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + STEP, "right")))
+            out[lo:hi] = self._of(data[starts[lo] : ends[hi - 1]], starts[lo:hi] - starts[lo], ends[lo:hi] - starts[lo])
+            lo = hi
+        return out
+
+    def _of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(data) + 1
         if len(self.up) < n:
             grow = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))])

@@ -359,3 +359,24 @@ def test_samples_and_bit_tables(spark):
     table = bit_table(spark.createDataFrame([(0,), (70_000,), ((1 << 17) - 1,)], "bit long"), 17)
     assert may_hold(table, np.array([0, 1, 70_000, 70_001, (1 << 17) - 1])).tolist() == [True, False, True, False, True]
     assert bit_table(spark.range(0).withColumnRenamed("id", "bit"), 17) is None and not may_hold(None, np.array([3])).any()
+
+
+def test_long_texts_and_words(monkeypatch):
+    """Hashes taken in steps are those taken at once, and a very long word costs little more than its length."""
+    from evidara.llm import textarrays as t
+
+    r = np.random.default_rng(3)
+    data = r.choice(np.frombuffer(b"ab cd\n", np.uint8), 5000)
+    starts, ends, _ = t.words(data, np.array([0, len(data)]), t.NOT_SPACE)
+    whole = t.Hasher().of(data, starts, ends)
+    monkeypatch.setattr(t, "STEP", 37)
+    assert (t.Hasher().of(data, starts, ends) == whole).all()
+    monkeypatch.setattr(t, "STEP", 4 << 20)
+    model, pieces = lattice.Lattice([b" ", b"a", b"b", b"ab", b" a"]), 5
+    weight = np.log10(np.full(pieces, 0.2))
+    word = b"ab" * 20_000
+    got, expected = model.run(np.frombuffer(word + b"b", np.uint8), np.array([0, len(word), len(word) + 1]), weight, np.array([1, 1]))
+    log = [0.0, math.log10(0.2)]  # places after the mark, in the word: each pair is two pieces or one
+    ways = math.log10(0.04 + 0.2)
+    first = math.log10(0.2 * (0.04 + 0.2) + 0.2 * 0.2)
+    assert math.isclose(got[0], first + 19_999 * ways, rel_tol=1e-9) and math.isclose(got[1], 2 * log[1]) and expected[3] > 9_000
