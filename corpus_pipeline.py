@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five operators in turn, each over all that the one before it kept."""
+"""A training corpus from raw documents: five operators in turn, each over all that the one before it kept.
+
+Defined cases: rows with null or empty text are scored like any other, stay in both dedups and are of
+size 0 in the mix; of rows that repeat, one stays after near_dedup; a null doc_id never takes a row away
+in near_dedup; extra columns of documents go through all stages but the last; an empty table gives no
+rows at every stage, and so does a stage that the one before it left without rows.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +15,17 @@ from evidara.llm.tables import reread, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects (score below quality.THRESHOLD) go; with labels of one class only all or none stay."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go, and documents of which nothing else is left."""
+    """Later copies of repeated line runs go, and documents of which nothing else is left; n_chars stays that of the whole document."""
     return linededup.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies stays."""
+    """One row of each group of near copies stays, of the document with the smallest doc_id; exact repeats are copies too."""
     return neardup.kept(docs, size=5, percent=80)
 
 
