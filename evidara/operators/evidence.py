@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 #: Bytes of quotes that one pass over the documents carries.
 PART = 8 << 20
 
@@ -65,7 +67,8 @@ def locate_quotes(quotes: DataFrame, docs: DataFrame) -> DataFrame:
         for r in quotes.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).collect():
             some.setdefault(r["text"], []).append(r["quote_id"])
         if some:
-            found.append(find(some))
+            # written down part by part, so that the driver holds one part at a time
+            found.append(cut(find(some)))
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], "quote_id long, doc_id long, position long")
 
 
