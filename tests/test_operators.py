@@ -230,3 +230,12 @@ def test_streams(spark, tmp_path):
     stale = stream.stale_write_alerts(source(), spark.createDataFrame([("u", 3)], "user string, current int"), "user", "id")
     stream.run_available(stale, str(tmp_path / "w"), str(tmp_path / "ck4"))
     assert collected(spark.read.parquet(str(tmp_path / "w")), "id") == [(1,), (1,), (2,)]
+
+
+def test_uploaded_files(spark, tmp_path):
+    for name, content in (("a.pdf", b"%PDF-1"), ("empty.pdf", b""), ("b.txt", b"no")):
+        (tmp_path / name).write_bytes(content)
+    got = files.documents_from_files(spark, str(tmp_path))
+    assert got.columns == ["path", "content", "uploaded_at"]
+    assert {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in got.collect()} == {"a.pdf": b"%PDF-1", "empty.pdf": b""}
+    assert [r["path"].rsplit("/", 1)[1] for r in files.documents_from_files(spark, str(tmp_path), "*.txt").collect()] == ["b.txt"]
