@@ -112,5 +112,5 @@ def acknowledgement(path: Column, entries: Column) -> Column:
 
 
 def documents_from_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
-    """path, content of uploaded files; page texts come from a service outside."""
+    """path, content of uploaded files; page texts come from a service outside. Files of no bytes give no row."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content", F.col("modificationTime").alias("uploaded_at"))

@@ -237,5 +237,5 @@ def test_uploaded_files(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     got = files.documents_from_files(spark, str(tmp_path))
     assert got.columns == ["path", "content", "uploaded_at"]
-    assert {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in got.collect()} == {"a.pdf": b"%PDF-1", "empty.pdf": b""}
+    assert {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in got.collect()} == {"a.pdf": b"%PDF-1"}
     assert [r["path"].rsplit("/", 1)[1] for r in files.documents_from_files(spark, str(tmp_path), "*.txt").collect()] == ["b.txt"]
