@@ -42,6 +42,7 @@ from .textarrays import NOT_SPACE, Hasher, lowered, shingles, text_slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 PART = 4 << 20
+BLOCK = 1 << 15
 RADIUS = 7
 BITS, PARTS = 64, 4
 
@@ -133,34 +134,42 @@ class Index:
                 parts.append((begin, (order // len(flips)).astype(np.int32)))
             self.tables[w] = (prints, who, parts)
 
-    def candidates(self, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
-        """(row, item, word of the row where the item would begin)."""
-        found: set[tuple[int, int, int]] = set()
-        if not len(h):
-            return found
-        total, n = BitSums(h, max(self.tables, default=1)), np.diff(first)
-        for w, (prints, who, parts) in self.tables.items():
-            step = stride(w)
-            count = np.where(n >= w, (n - w) // step + 1, 0)
-            if not count.sum():
-                continue
-            begin = np.cumsum(count) - count
-            row = np.repeat(np.arange(len(n)), count)
-            place = (np.arange(count.sum()) - begin[row]) * step
-            f = total.fingerprints(first[row] + place, w)
-            for p, (lists, entry) in enumerate(parts):
-                v = ((f >> np.uint64(16 * p)) & np.uint64(0xFFFF)).astype(np.int64)
-                size = lists[v + 1] - lists[v]
-                some = np.flatnonzero(size)
-                if not len(some):
-                    continue
-                size = size[some]
-                at = np.repeat(lists[v[some]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                window, e = np.repeat(some, size), entry[at]
-                near = np.bitwise_count(f[window] ^ prints[e]) <= RADIUS
-                window, e = window[near], e[near]
-                found.update(zip(row[window].tolist(), who[e, 0].tolist(), (place[window] - who[e, 1]).tolist(), strict=True))
-        return found
+    def candidates(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Rows of (row, item, word of the row where the item would begin), each once and in order.
+
+        The windows are taken by the block of BLOCK words they begin in, so memory follows the index and not the text.
+        """
+        longest = max(self.tables, default=0)
+        found = [np.zeros((0, 3), np.int64)]
+        for lo in range(0, len(h) if longest else 0, BLOCK):
+            total = BitSums(h[lo : lo + BLOCK + longest], longest)
+            rows = np.arange(np.searchsorted(first, lo, "right") - 1, min(len(first) - 1, np.searchsorted(first, lo + BLOCK)))
+            found += [self._near(total, lo, w, rows, first) for w in self.tables]
+        return np.unique(np.concatenate(found), axis=0)
+
+    def _near(self, total: BitSums, lo: int, w: int, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Candidates of one window size among the rows' windows that begin in the block at word lo."""
+        prints, who, parts = self.tables[w]
+        step = stride(w)
+        begin, n = first[rows], first[rows + 1] - first[rows]
+        skipped = np.maximum(0, -((begin - lo) // step))  # windows of the row before the block
+        end = np.minimum(np.where(n >= w, (n - w) // step + 1, 0), -((begin - lo - BLOCK) // step))
+        count = np.maximum(0, end - skipped)
+        row = np.repeat(rows, count)
+        place = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - skipped, count)) * step
+        f = total.fingerprints(first[row] + place - lo, w)
+        found = [np.zeros((0, 3), np.int64)]
+        for p, (lists, entry) in enumerate(parts):
+            v = ((f >> np.uint64(16 * p)) & np.uint64(0xFFFF)).astype(np.int64)
+            size = lists[v + 1] - lists[v]
+            some = np.flatnonzero(size)
+            size = size[some]
+            at = np.repeat(lists[v[some]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            window, e = np.repeat(some, size), entry[at]
+            near = np.bitwise_count(f[window] ^ prints[e]) <= RADIUS
+            window, e = window[near], e[near]
+            found.append(np.stack([row[window], who[e, 0], place[window] - who[e, 1]], 1))
+        return np.concatenate(found)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         """Weighted Jaccard similarity of the item's shingles and a window's, repeats counted."""
@@ -214,7 +223,7 @@ class Index:
         h = hasher.of(low, starts, ends)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         of_row, made = -1, np.zeros(0, np.uint64)
-        for row, item, place in sorted(self.candidates(h, first)):
+        for row, item, place in self.candidates(h, first).tolist():
             mine = h[first[row] : first[row + 1]]
             if row != of_row:
                 of_row, (made, _) = row, shingles(mine, np.array([0, len(mine)]), SHINGLE)
