@@ -237,6 +237,29 @@ def test_parts_of_the_benchmark_find_the_same(spark, monkeypatch):
     assert {x["doc_id"] for x in decontaminate.clean(docs, bench).collect()} == left == {99, 100} | (set(range(48)) - {x[0] for x in one})
 
 
+def test_blocks_of_words_find_the_same(monkeypatch):
+    """Candidates equal those of every window taken by itself, however the words are cut into blocks."""
+    r, hasher = random.Random(4), decontaminate.Hasher()
+    word = lambda: r.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"])
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([3, 7, 20, 33, 60])]
+    of = [decontaminate.words_and_shingles(t, hasher) for _, t in items]
+    known, holders = np.unique(np.concatenate([np.unique(s) for _, s in of]), return_counts=True)
+    index = decontaminate.Index(items, len(items), known, holders)
+    rows = [of[2][0], of[0][0][:0], np.concatenate([of[1][0], of[4][0], of[3][0][:9]]), of[0][0][:1], of[3][0], of[0][0][:0]]
+    h, first = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    want = set()
+    for row, x in enumerate(rows):
+        for w, (prints, who, _) in index.tables.items():
+            for place in range(0, len(x) - w + 1, decontaminate.stride(w)):
+                f = decontaminate.BitSums(x, w).fingerprints(np.array([place]), w)
+                near = np.flatnonzero(np.bitwise_count(f ^ prints) <= decontaminate.RADIUS)
+                want |= {(row, int(k), place - int(at)) for k, at in who[near]}
+    assert len({x[1] for x in want}) == 5
+    for block in (1, 5, 64, 1 << 15):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        assert index.candidates(h, first).tolist() == [list(x) for x in sorted(want)]
+
+
 def test_gradients_of_the_attention_model():
     r = np.random.default_rng(0)
     x, begin, y = r.normal(size=(9, quality.N_FEATURES)), np.array([0, 2, 3, 9]), np.array([1.0, 0.0, 1.0])
