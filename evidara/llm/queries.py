@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, lattice, licenses, linededup, mixing, neardup, pii, quality, urls
+from . import alignment, decontaminate, embeddings, lattice, licenses, linededup, mixing, neardup, packing, pii, quality, spelling, urls
 from .tables import table
 
 
@@ -48,6 +49,18 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_embedding_neardup, op3_url_filter, op4_lattice_lm, op5_source_mixing, op6_line_dedup, op7_license_scan, op8_decontaminate, op9_quality_classifier, op10_minhash_neardup)}
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii_sanitise, op2_embedding_neardup, op3_url_filter, op4_lattice_lm, op5_source_mixing, op6_line_dedup, op7_license_scan, op8_decontaminate, op9_quality_classifier, op10_minhash_neardup, op11_cross_tokenizer_alignment, op12_spelling_variants, op13_best_fit_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
