@@ -69,9 +69,14 @@ def canonical_json(pairs: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))
 
 
+#: Where lines end, as Python's splitlines has it.
+LINE_END = r"(?:\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}])"
+
+
 def bullets(items: Column) -> Column:
     """An array as a Markdown list, continuation lines indented; empty and null: _None._"""
-    lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), F.replace(x, F.lit("\n"), F.lit("\n  ")))), "\n")
+    item = lambda x: F.regexp_replace(F.regexp_replace(x, LINE_END + r"\z", ""), LINE_END, "\n  ")
+    lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), item(x))), "\n")
     return F.coalesce(F.nullif(lines, F.lit("")), F.lit("_None._"))
 
 

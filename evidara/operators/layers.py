@@ -6,25 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
-
-
-def merge_layers(leaves: DataFrame, group: list[str]) -> DataFrame:
-    """group, path, value of leaves(group, layer, path array, value) after every layer is laid over the ones before.
-
-    A leaf survives unless a later layer writes at its path, at a prefix of it (a table became a
-    scalar) or below it (a scalar became a table). All three are equi-joins on the path and its
-    prefixes; nothing is compared pairwise.
-    """
-    leaves = leaves.select(*group, "layer", "path", "value")
-    top = leaves.groupBy(*group, "path").agg(F.max_by("value", "layer").alias("value"), F.max("layer").alias("layer"))
-    prefixes = top.select(*group, F.col("layer").alias("by"), F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size("path") - 1), lambda n: n > 0), lambda n: F.slice("path", F.lit(1), n))).alias("prefix"))
-    below = prefixes.groupBy(*group, F.col("prefix").alias("path")).agg(F.max("by").alias("below"))
-    top = top.join(below, [*group, "path"], "left").where(F.col("below").isNull() | (F.col("below") < F.col("layer"))).drop("below")
-    # scalars of any layer hide what earlier layers hold below them
-    scalars = leaves.groupBy(*group, "path").agg(F.max("layer").alias("scalar")).withColumnRenamed("path", "prefix")
-    own = top.select(*group, "path", F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size("path") - 1), lambda n: n > 0), lambda n: F.slice("path", F.lit(1), n))).alias("prefix"), "layer")
-    hidden = own.join(scalars, [*group, "prefix"]).where("scalar > layer").select(*group, "path").distinct()
-    return top.join(hidden, [*group, "path"], "left_anti").select(*group, "path", "value")
+from .trees import lay_over, merge_layers  # noqa: F401  the merge of whole layers is there
 
 
 def at_path(merged: DataFrame, path: list[str]) -> DataFrame:
@@ -46,15 +28,16 @@ def array_key(code: Column, ident: Column) -> Column:
 
 
 def merge_keyed(base: DataFrame, override: DataFrame, key: str, pos: str, body: list[str]) -> DataFrame:
-    """Keyed array merge: key, pos, body. An override replaces the last base item of its key whole and in place; new keys follow the base in their own order."""
-    last = base.groupBy(key).agg(F.max(pos).alias("last_"))
-    marked = base.join(last, key).withColumn("hit_", F.col(pos) == F.col("last_"))
-    # of overrides with one key the last one counts, at the place of the first
-    over = override.groupBy(key).agg(F.max_by(F.struct(*body), pos).alias("new_"), F.min(pos).alias("over_pos_"))
-    n = base.agg((F.coalesce(F.max(pos), F.lit(-1)) + 1).alias("n_"))
-    merged = marked.join(over.withColumn("hit_", F.lit(True)), [key, "hit_"], "full").join(F.broadcast(n))
-    items = [F.when(F.col("new_").isNotNull(), F.col("new_")[c]).otherwise(F.col(c)).alias(c) for c in body]
-    return merged.select(key, F.coalesce(F.col(pos), F.col("n_") + F.col("over_pos_")).alias(pos), *items)
+    """Keyed array merge: key, pos, body. An override replaces the last base item of its key whole and in place; new keys follow the base in their own order.
+
+    Where an item of either side has a null key the array has none, and the override follows the base, repeats kept.
+    """
+    rows = lambda df, over: df.select(F.col(key).alias("key"), F.col(pos).cast("long").alias("ord"), F.lit(over).alias("over"), F.struct(*body).alias("body"))
+    both = rows(base, False).union(rows(override, True))
+    # one row
+    info = both.agg(F.bool_and(F.col("key").isNotNull()).alias("whole"), (F.coalesce(F.max(F.when(~F.col("over"), F.col("ord"))), F.lit(-1)) + 1).alias("n"))
+    merged = lay_over(both.join(F.broadcast(info)), [], F.when(F.col("whole"), F.col("key")), F.col("n"))
+    return merged.select(F.col("key").alias(key), F.col("ord").alias(pos), *[F.col("body")[c].alias(c) for c in body])
 
 
 def append_arrays(base: DataFrame, override: DataFrame) -> DataFrame:
@@ -94,18 +77,22 @@ def masked_overrides(candidates: DataFrame, group: list[str], priority: str, has
 def closure(edges: DataFrame) -> DataFrame:
     """ancestor, node, depth: all pairs that edges(parent, node) connect, with the shortest depth.
 
-    Semi-naive: each step joins only the pairs that the step before found, until a step finds none;
-    cycles end as their pairs are found. Each step is written down in the shared folder.
+    Reach doubles each round: a shortest path of length 2^k to 2^(k+1) begins with one of length 2^k, and
+    what follows is a shorter path that is known. So rounds grow with the logarithm of the longest
+    shortest path, and a round joins only the pairs exactly 2^k apart with the nearer ones. Cycles end as
+    their pairs are found. Each round is written down in the shared folder; rows with a null end are no edges.
     """
-    edges = edges.select("parent", "node").distinct()
-    found = new = cut(edges.select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("depth")))
-    depth = 1
-    while not new.isEmpty():
-        depth += 1
-        step = new.select("ancestor", F.col("node").alias("parent")).join(edges, "parent").select("ancestor", "node").distinct()
-        new = cut(step.join(found, ["ancestor", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        found = found.union(new)
-    return found
+    edges = edges.select(F.col("parent").alias("ancestor"), "node").where("ancestor is not null and node is not null").distinct()
+    near = span = cut(edges.withColumn("depth", F.lit(1)))
+    reach = 1
+    while not span.isEmpty():
+        first = span.select("ancestor", F.col("node").alias("via"))
+        onward = near.select(F.col("ancestor").alias("via"), "node", (F.col("depth") + reach).alias("depth"))
+        further = first.join(onward, "via").groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
+        found = cut(further.join(near, ["ancestor", "node"], "left_anti"))
+        near, reach = near.union(found), reach * 2
+        span = found.where(F.col("depth") == reach)
+    return near
 
 
 def undeclared(references: DataFrame, declared: DataFrame, key: str) -> DataFrame:

@@ -5,11 +5,11 @@ Nations, customers, parts and conversations stand in for sources, settings, cata
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import layers, render
+from ..operators import layers, render, trees
 from ..sources import files
 from ..storage import scratch
 from .registry import query, read
@@ -254,16 +254,50 @@ def snapshot_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'region.' || r_regionkey || '.name' AS path, CASE WHEN r_regionkey = 1 THEN 'mine' ELSE r_name END AS value FROM region
-    UNION ALL SELECT 'region.' || r_regionkey || '.nations.' || (row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) - 1), n_nationkey::VARCHAR FROM region JOIN nation ON n_regionkey = r_regionkey
+    """WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS p FROM nation),
+    c AS (SELECT r_regionkey AS r, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS p FROM region WHERE r_regionkey % 2 = 1)
+    SELECT 'region.' || r_regionkey || '.name' AS path, CASE WHEN r_regionkey = 1 THEN 'mine' ELSE r_name END AS value FROM region
+    UNION ALL SELECT 'region.' || r || '.nations.' || p, k::VARCHAR FROM n
+    UNION ALL SELECT 'region.' || r || '.nations.' || p, (100 + r)::VARCHAR FROM c
+    UNION ALL SELECT 'region.' || r || '.office.' || p || '.id', 'n' || k FROM n
+    UNION ALL SELECT 'region.' || r || '.office.' || p || '.note', CASE WHEN r % 2 = 1 AND k % 2 = 0 THEN 'mine' ELSE 'base' END FROM n
+    UNION ALL SELECT 'region.' || r || '.office.' || p || x.k, x.v FROM c, (VALUES ('.id', 'new'), ('.note', 'mine')) x(k, v)
     UNION ALL SELECT 'user.on', 'true'"""
 )
 def config_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A required TOML layer, an optional one that is missing, and an optional one that is there."""
-    folder, regions, nations = scratch(spark, "toml"), read(spark, sf_dir, "region"), read(spark, sf_dir, "nation")
-    listed = nations.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.array_join(F.array_sort(F.collect_list("n_nationkey")).cast("array<string>"), ", ").alias("keys"))
-    table = F.concat(F.lit("[region."), text_("r_regionkey"), F.lit("]\nname = \""), "r_name", F.lit("\"\nnations = ["), F.coalesce("keys", F.lit("")), F.lit("]\n"))
-    regions.join(listed, "r_regionkey", "left").agg(F.array_join(F.array_sort(F.collect_list(table)), "").alias("value")).coalesce(1).write.text(f"{folder}/base")
-    spark.createDataFrame([("user.on = true\n[region.1]\nname = 'mine'\n",)], "value string").coalesce(1).write.text(f"{folder}/user")
+    """A required TOML layer of a file a region, an optional one that is missing, and one that adds to an array without keys and replaces items of one with keys."""
+    folder, regions = scratch(spark, "toml"), read(spark, sf_dir, "region")
+    r, k = text_("r_regionkey"), text_("n_nationkey")
+    nations = read(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "r_regionkey")
+    in_order = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("n_nationkey", c.alias("c"))))), lambda x: x["c"]), sep)
+    office = lambda ident, note: F.concat(F.lit("[[region."), r, F.lit(".office]]\nid = \""), ident, F.lit(f"\"\nnote = '{note}'\n"))
+    listed = nations.groupBy("r_regionkey").agg(in_order(k, ", ").alias("keys"), in_order(office(F.concat(F.lit("n"), k), "base"), "").alias("offices"), in_order(F.when(F.col("n_nationkey") % 2 == 0, office(F.concat(F.lit("n"), k), "mine")), "").alias("mine"))
+    both = regions.join(listed, "r_regionkey")
+    head = F.concat(F.lit("[region."), r, F.lit("]\n"))
+    base = F.concat(head, F.lit('name = "'), "r_name", F.lit('"\nnations = ['), "keys", F.lit("]\n"), "offices")
+    user = F.concat(head, F.when(F.col("r_regionkey") == 1, "name = 'mine'\n").otherwise(""), F.lit("nations = ["), (F.col("r_regionkey") + 100).cast("string"), F.lit("]\n"), "mine", office(F.lit("new"), "mine"))
+    # a file a region
+    both.select("r_regionkey", base.alias("value")).write.partitionBy("r_regionkey").text(f"{folder}/base")
+    both.where("r_regionkey % 2 = 1").select("r_regionkey", user.alias("value")).union(spark.createDataFrame([(-1, "user.on = true\n")], "r_regionkey int, value string")).write.partitionBy("r_regionkey").text(f"{folder}/user")
     leaves = files.toml_leaves(spark, [f"{folder}/base", f"{folder}/team", f"{folder}/user"])
     return layers.merge_layers(leaves.withColumn("all", F.lit(1)), ["all"]).select(F.array_join("path", ".").alias("path"), "value")
+
+
+@query(
+    r"""WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2)
+    SELECT c_nationkey, '{"name":"n\"' || c_nationkey || '","open":true,"segments":[' || string_agg('{"code":"' || c_mktsegment || '"}', ',' ORDER BY c_mktsegment) || '],"stats":{"by":{' || string_agg('"' || c_mktsegment || '":' || n, ',' ORDER BY c_mktsegment)
+           || '},"count":' || sum(n) || ',"none":[]}}' AS json FROM s GROUP BY 1"""
+)
+def canonical_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's settings, tables and arrays three levels deep, as JSON with sorted keys."""
+    segments = read(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_mktsegment")) - 1
+    by = segments.withColumn("p", place.cast("string"))
+    leaf = lambda kind, value, *path, positions=(): F.struct(F.array(*path).alias("path"), F.array(*map(F.lit, positions)).cast("array<int>").alias("positions"), F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    each = F.array(leaf("string", F.col("c_mktsegment"), F.lit("segments"), F.col("p"), F.lit("code"), positions=[2]), leaf("integer", F.col("n"), F.lit("stats"), F.lit("by"), F.col("c_mktsegment")))
+    once = F.array(
+        leaf("string", F.concat(F.lit('n"'), text_("c_nationkey")), F.lit("name")), leaf("boolean", F.lit("true"), F.lit("open")),
+        leaf("integer", F.col("n"), F.lit("stats"), F.lit("count")), leaf("array", F.lit(None), F.lit("stats"), F.lit("none")),
+    )
+    rows = by.select("c_nationkey", F.inline(each)).union(segments.groupBy("c_nationkey").agg(F.sum("n").alias("n")).select("c_nationkey", F.inline(once)))
+    return trees.canonical_json(rows, ["c_nationkey"])

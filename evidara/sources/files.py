@@ -14,20 +14,28 @@ from pyspark.sql import functions as F
 from ..operators.layers import differences
 
 
-def _leaves(tree: object, path: list[str]) -> Iterator[tuple[list[str], str]]:
-    if isinstance(tree, dict):
+def _leaves(tree: object, path: list[str], positions: list[int]) -> Iterator[dict]:
+    """The leaves of a parsed file as operators.trees has them."""
+    if isinstance(tree, dict) and tree:
         for k, v in tree.items():
-            yield from _leaves(v, [*path, k])
-    elif isinstance(tree, list):
+            yield from _leaves(v, [*path, k], positions)
+    elif isinstance(tree, list) and tree:
         for i, v in enumerate(tree):
-            yield from _leaves(v, [*path, str(i)])
+            yield from _leaves(v, [*path, str(i)], [*positions, len(path) + 1])
     else:
-        yield path, str(tree).lower() if isinstance(tree, bool) else str(tree)
+        kind = next((name for t, name in KINDS if isinstance(tree, t)), "other")
+        value = None if kind in ("table", "array") else str(tree).lower() if kind == "boolean" else str(tree)
+        yield {"path": path, "positions": positions, "kind": kind, "value": value}
+
+
+#: Python's types of parsed values; bool is an int, too, so it comes first.
+KINDS = ((bool, "boolean"), (int, "integer"), (float, "float"), (str, "string"), (dict, "table"), (list, "array"))
+LEAF = "path: array<string>, positions: array<int>, kind: string, value: string"
 
 
 def _text(spark: SparkSession, path: str, required: bool) -> DataFrame | None:
     try:
-        return spark.read.text(path, wholetext=True)
+        return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     except AnalysisException as e:
         if required or e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -35,15 +43,18 @@ def _text(spark: SparkSession, path: str, required: bool) -> DataFrame | None:
 
 
 def toml_leaves(spark: SparkSession, paths: list[str], required: int = 1) -> DataFrame:
-    """layer, path, value of TOML files, later files being higher layers. The first `required` files must be there, others may be missing; bad syntax is an error."""
+    """layer, path, positions, kind, value of TOML files, later paths being higher layers; a path may be a folder of many files, each parsed where Spark reads it.
+
+    The first `required` paths must be there, others may be missing; bad syntax is an error. Empty tables and arrays have a row without value, an empty file has none.
+    """
 
-    @F.pandas_udf("array<struct<path: array<string>, value: string>>")
+    @F.pandas_udf(f"array<struct<{LEAF}>>")
     def parsed(content: pd.Series) -> pd.Series:
-        return content.map(lambda text: [{"path": p, "value": v} for p, v in _leaves(tomllib.loads(text), [])])
+        return content.map(lambda text: [leaf for leaf in _leaves(tomllib.loads(text), [], []) if leaf["path"]])
 
     read = [(layer, _text(spark, path, layer < required)) for layer, path in enumerate(paths)]
     layers = [rows.select(F.lit(layer).alias("layer"), F.inline(parsed("value"))) for layer, rows in read if rows is not None]
-    return reduce(DataFrame.union, layers, spark.createDataFrame([], "layer int, path array<string>, value string"))
+    return reduce(DataFrame.union, layers, spark.createDataFrame([], "layer int, " + LEAF.replace(":", "")))
 
 
 def markdown_sources(spark: SparkSession, folder: str, skip: str = "SKILL.md", required: str = "workflow.md") -> DataFrame:
