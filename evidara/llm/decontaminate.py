@@ -14,23 +14,22 @@ weighing log(1 + items / items that hold them) over the whole benchmark, all oth
 Words may have been put in or left out, so of all windows whose ends lie up to a quarter of the item's
 length (and a word) from where they would be expected, the most similar one counts.
 
-The benchmark is split by hash into parts of about PART bytes and each is a pass over the documents:
-what a task and the driver hold is bounded, no item is left out, and what a part finds does not depend
-on how the benchmark was split. Documents are not shuffled, but where there are several parts `clean`
-joins them with the found ones.
+The benchmark is split by hash into parts of about PART bytes. The driver makes their indexes one after the other, and
+each is a broadcast of its own, which tasks open one at a time: what a task and the driver hold is bounded,
+no item is left out, and what a part finds does not depend on how the benchmark was split. All parts
+are matched in one pass over the documents, whose words are hashed once; documents are never shuffled.
 
 Defined cases: null or empty texts match nothing; an item of fewer than five words is one shingle;
-items with equal texts all match; repeated rows are each reported; a null doc_id is reported as
-null; extra columns are ignored; an empty table on either side gives no rows.
+items with equal texts all match; items that share an id are items of their own, each reported under it;
+repeated rows are each reported; a null doc_id or item_id is reported as null; extra columns are
+ignored; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ from .tables import cut
 from .textarrays import NOT_SPACE, Hasher, lowered, shingles, text_slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-PART = 4 << 20
+PART = 1 << 20
 BLOCK = 1 << 15
 RADIUS = 7
 BITS, PARTS = 64, 4
@@ -216,11 +215,8 @@ class Index:
                 best = (exact, int(begin[i]), int(end[j]) + SHINGLE - 1)
         return best
 
-    def matches(self, data: np.ndarray, off: np.ndarray, hasher: Hasher) -> list[tuple[int, int, float, int, int]]:
-        """(row, item's place, similarity, first word, word after the last) of the best window for each row and item that reaches SIMILARITY."""
-        low = lowered(data)
-        starts, ends, first = words(low, off, NOT_SPACE)
-        h = hasher.of(low, starts, ends)
+    def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, float, int, int]]:
+        """(row, item's place, similarity, first word, word after the last) of the best window for each row and item that reaches SIMILARITY; h are the rows' words, and first where each row's begin."""
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
         of_row, made = -1, np.zeros(0, np.uint64)
         for row, item, place in self.candidates(h, first).tolist():
@@ -256,7 +252,7 @@ def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def benchmark_parts(benchmark: DataFrame) -> Iterator[Index]:
     """The benchmark's indexes, one part after the other; a part is what its hash says and about PART bytes."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("bytes"), F.count("*").alias("items")).first()
     parts = max(1, -(-int(size["bytes"]) // PART))
     items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
@@ -270,54 +266,67 @@ def benchmark_parts(benchmark: DataFrame) -> Iterator[Index]:
             weights = known.where(F.col("part") == k).select("shingle", "holders").toArrow()
             shingle = weights["shingle"].to_numpy().view(np.uint64)
             order = np.argsort(shingle)
-            yield Index(sorted((r["item_id"], r["text"]) for r in part), size["items"], shingle[order], weights["holders"].to_numpy()[order])
+            in_order = sorted(((r["item_id"], r["text"]) for r in part), key=lambda i: (i[0] is not None, i[0] or 0, i[1]))
+            yield Index(in_order, size["items"], shingle[order], weights["holders"].to_numpy()[order])
+
+
+class Parts:
+    """The indexes of the whole benchmark as broadcasts."""
+
+    def __init__(self, benchmark: DataFrame) -> None:
+        sc = benchmark.sparkSession.sparkContext
+        self.indexes = [sc.broadcast(i) for i in benchmark_parts(benchmark)]
+
+    def __iter__(self) -> Iterator[Index]:
+        for b in self.indexes:
+            yield b.value
+            if len(self.indexes) > 1:
+                vars(b).pop("_value", None)  # it is read again from the worker's disk, so that one at a time is held
+
+    def matches(self, texts: pa.Array, hasher: Hasher) -> Iterator[tuple[int, Index, tuple[int, int, float, int, int]]]:
+        """(row, index, one of its matches) in the texts of a batch; with one index it goes slice by slice, else each index is opened once a batch."""
+        some: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for lo, _, data, off in text_slices(texts):
+            low = lowered(data)
+            starts, ends, first = words(low, off, NOT_SPACE)
+            some.append((lo, hasher.of(low, starts, ends), first))
+            if len(self.indexes) == 1:
+                yield from self._of(some)
+                some = []
+        if some:
+            yield from self._of(some)
+
+    def _of(self, some: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[tuple[int, Index, tuple[int, int, float, int, int]]]:
+        for index in self:
+            for lo, h, first in some:
+                for m in index.matches(h, first):
+                    yield lo + m[0], index, m
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity, first_word, end_word for each document and item it holds; clean documents have no row."""
+    parts = Parts(benchmark)
 
-    def found(index: Index):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher = Hasher()
-            for b in batches:
-                ids = b.column("doc_id").to_pylist()
-                rows = []
-                for lo, _, data, off in text_slices(b.column("text")):
-                    rows += [(ids[lo + r], index.ids[i], *v) for r, i, *v in index.matches(data, off, hasher)]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "similarity", "first_word", "end_word"])
-
-        return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, end_word long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in batches:
+            ids = b.column("doc_id").to_pylist()
+            rows = [(ids[row], index.ids[m[1]], *m[2:]) for row, index, m in parts.matches(b.column("text"), hasher)]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "item_id", "similarity", "first_word", "end_word"])
 
-    # written down part by part, so that the driver holds one index at a time
-    parts = [cut(found(i)) for i in benchmark_parts(benchmark)]
-    return reduce(DataFrame.union, parts) if parts else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long, end_word long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long, end_word long")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no benchmark item."""
+    parts = Parts(benchmark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            ok[[row for row, _, _ in parts.matches(b.column("text"), hasher)]] = False
+            yield b.filter(pa.array(ok))
 
-    def hits(index: Index, table: DataFrame, keep: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher = Hasher()
-            for b in batches:
-                ok = np.full(b.num_rows, keep)
-                for lo, _, data, off in text_slices(b.column("text")):
-                    ok[[lo + m[0] for m in index.matches(data, off, hasher)]] = not keep
-                yield b.filter(pa.array(ok))
-
-        return table.mapInArrow(run, table.schema)
-
-    indexes = benchmark_parts(benchmark)
-    first, second = next(indexes, None), next(indexes, None)
-    if first is None:
-        return docs
-    if second is None:
-        return hits(first, docs, keep=True)
-    key = ["t1", "t2"]
-    hashed = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
-    texts = docs.select("text", *hashed)
-    found = [cut(hits(i, texts, keep=False).select(*key)) for i in itertools.chain([first, second], indexes)]
-    # the whole row is one column beside the join's, so no extra column can clash
-    rows = docs.select(F.struct("*").alias("row"), *hashed)
-    return rows.join(reduce(DataFrame.union, found).distinct(), key, "left_anti").select("row.*")
+    return docs.mapInArrow(run, docs.schema)
