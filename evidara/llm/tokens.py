@@ -18,7 +18,7 @@ import tiktoken
 import tokenizers
 
 #: Parts that a worker remembers, and the bytes of the longest of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 600_000, 64
 #: Bytes of text whose parts are handled at once; one longer part makes a slice of its own.
 SLICE = 1 << 20
 
@@ -79,7 +79,7 @@ class TwoVocabularies:
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         self.cut = not any("▁" in p.lstrip("▁") for p in pieces)  # else a piece may reach across a blank
         self.sizes = (max(self.a_bytes) + 1, size)
-        self.memo: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.memo: dict[bytes, tuple[bytes, bytes] | bool] = {}
 
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of each token of A and of B."""
@@ -90,15 +90,15 @@ class TwoVocabularies:
             out.append(n)
         return out[0], out[1]
 
-    def _learn(self, parts: list[bytes]) -> dict[bytes, tuple[bytes, bytes] | None]:
-        """Ids of ' ' + part by A and of part by B, or None where one of them does not give these bytes back."""
+    def _learn(self, parts: list[bytes]) -> dict[bytes, tuple[bytes, bytes] | bool]:
+        """Ids of ' ' + part by A and of part by B, or False where one of them does not give these bytes back."""
         texts = [p.decode(errors="replace") for p in parts]
         codes = [id_code(n) for n in self.sizes]
-        out: dict[bytes, tuple[bytes, bytes] | None] = {}
+        out: dict[bytes, tuple[bytes, bytes] | bool] = {}
         for part, text, b in zip(parts, texts, self.b.encode(texts, num_threads=1), strict=True):
-            a = self.ranked.encode_ordinary(" " + text) if PLAIN.fullmatch(part) else self.whole.encode(" " + text, add_special_tokens=False).ids
+            a = self.ranked.encode_ordinary(" " + text) if len(part) <= 1000 and (part.isascii() or PLAIN.fullmatch(part)) else self.whole.encode(" " + text, add_special_tokens=False).ids
             same = b"".join([self.a_bytes[i] for i in a]) == b" " + part == b"".join([self.b_bytes[i] for i in b])
-            out[part] = (array(codes[0], a).tobytes(), array(codes[1], b).tobytes()) if same else None
+            out[part] = (array(codes[0], a).tobytes(), array(codes[1], b).tobytes()) if same else False
         return out
 
     def encode(self, raw: bytes) -> Iterator[tuple[int, tuple[bytes, bytes] | None]]:
@@ -108,69 +108,71 @@ class TwoVocabularies:
         for piece in sliced(raw, BLANK) if self.cut else [raw]:
             parts = BLANK.split(piece if first else piece[1:]) if self.cut else [piece]
             first = False
-            new = list(set(parts).difference(self.memo))
-            found = self._learn(new) if new else {}
-            if len(self.memo) + len(found) > REMEMBERED:
-                found |= {p: self.memo[p] for p in set(parts) if p in self.memo}
-                self.memo.clear()
-            self.memo.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
-            ids = [found[p] if p in found else self.memo[p] for p in parts] if found else [self.memo[p] for p in parts]
-            yield start, None if None in ids else (b"".join([i[0] for i in ids]), b"".join([i[1] for i in ids]))
+            ids = list(map(self.memo.get, parts))
+            if None in ids:
+                found = self._learn(list({p for p, i in zip(parts, ids, strict=True) if i is None}))
+                ids = [found[p] if i is None else i for p, i in zip(parts, ids, strict=True)]
+                if len(self.memo) + len(found) > REMEMBERED:
+                    self.memo.clear()
+                self.memo.update((p, v) for p, v in found.items() if len(p) <= LONGEST)
+            yield start, None if False in ids else (b"".join([i[0] for i in ids]), b"".join([i[1] for i in ids]))
             start += len(piece) + (not start)
 
 
 #: White space that every library takes for it; tokens of a vocabulary that drops white space end there.
 GAP = re.compile(rb"[ \t\n\r\x0b\x0c]")
-#: Pretokens of lower-case ASCII without white space.
-WORD = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-#: Words that one call encodes; the separator between them is a control character that is a token of its own.
-CALL, SEPARATOR = 500, "\x01"
+#: Pretokens of lower-case characters up to U+00FF; their white space (U+0085, U+00A0) is in none.
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-z0-9ªµºß-öø-ÿ²³¹¼½¾\x85\xa0]+")
+#: Stands for a word's end in the ranks; no UTF-8 text has this byte.
+WORD_END = b"\xff"
+
+
+class Memo(dict):
+    """A function's values by key, worked out when they are first asked for."""
+
+    def __init__(self, of: Callable[[Any], Any]) -> None:
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, key: Any) -> Any:
+        value = self[key] = self.of(key)
+        return value
 
 
 class WordVocabulary:
     """Ids of texts by a BPE file with word ends that lower-cases and drops white space."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.memo: dict[bytes, bytes] = {}
-        alone = self.tokenizer.encode(SEPARATOR, add_special_tokens=False).ids
-        self.separator = alone[0] if len(alone) == 1 else None
-
-    def _encoded(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        plain = [w for w in words if self.separator is not None and SEPARATOR.encode() not in w]
-        for w in set(words).difference(plain):
-            yield w, array("I", self.tokenizer.encode(w.decode(errors="replace"), add_special_tokens=False).ids).tobytes()
-        for lo in range(0, len(plain), CALL):
-            some = plain[lo : lo + CALL]
-            text = f" {SEPARATOR} ".join([w.decode(errors="replace") for w in some])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.append(np.flatnonzero(ids == self.separator), len(ids)).tolist()
-            begin = 0
-            for w, end in zip(some, ends, strict=True):
-                yield w, ids[begin:end].tobytes()
-                begin = end + 1
-
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        # a chunk of ASCII is parted into pretokens here; special tokens and other scripts are left to the tokenizer
-        parts = {c: WORD.findall(c.lower()) if c.isascii() and b"<|" not in c else [c] for c in chunks}
-        new = list({w for p in parts.values() for w in p}.difference(self.words))
-        found = dict(self._encoded(new))
-        if len(self.words) + len(found) > REMEMBERED:
-            found |= {w: self.words[w] for p in parts.values() for w in p if w in self.words}
-            self.words.clear()
-        self.words.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
-        return {c: b"".join([found[w] if w in found else self.words[w] for w in p]) for c, p in parts.items()}
+        self.whole = tokenizers.Tokenizer.from_file(path)
+        with open(path) as f:
+            spec = json.load(f)
+        vocabulary, end, alphabet = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"], byte_alphabet()
+        added = {t["content"] for t in spec["added_tokens"]}
+        plain = lambda t: bytes(alphabet[c] for c in t)
+        ranks = {plain(t.removesuffix(end)) + WORD_END * t.endswith(end): i for t, i in vocabulary.items() if t not in added and t != alphabet_end(alphabet)}
+        merged = [vocabulary["".join(m)] for m in spec["model"]["merges"]]
+        # ids ascend with the merges, so merging by id is merging in order
+        ascending = all(x < y for x, y in zip(merged, merged[1:], strict=False)) and max(ranks[bytes([b]) + WORD_END] for b in range(255)) < merged[0]
+        self.ranked = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks | {WORD_END: len(vocabulary)}, special_tokens={}) if ascending else None
+        self.memo = Memo(self._chunk)
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        """Ids of a chunk without white space between."""
+        if self.ranked is None or b"<|" in chunk or len(chunk) > 1000 or not (chunk.isascii() or PLAIN.fullmatch(chunk)):  # special tokens and other scripts are left to the tokenizer
+            return array("I", self.whole.encode(chunk.decode(errors="replace"), add_special_tokens=False).ids).tobytes()
+        ids: list[int] = []
+        for word in WORD.findall(chunk.decode().lower()):
+            ids += self.ranked._encode_single_piece(word.encode() + WORD_END)
+        return array("I", ids).tobytes()
 
     def encode(self, raw: bytes) -> Iterator[np.ndarray]:
         """Ids of raw, slice by slice."""
         for piece in sliced(raw, GAP):
-            chunks = piece.split()
-            new = list(set(chunks).difference(self.memo))
-            found = self._learn(new) if new else {}
-            if len(self.memo) + len(found) > REMEMBERED:
-                found |= {c: self.memo[c] for c in set(chunks) if c in self.memo}
+            yield np.frombuffer(b"".join(map(self.memo.__getitem__, piece.split())), np.uint32)
+            if len(self.memo) > REMEMBERED:
                 self.memo.clear()
-            self.memo.update((c, i) for c, i in found.items() if len(c) <= LONGEST)
-            ids = [found[c] if c in found else self.memo[c] for c in chunks] if found else [self.memo[c] for c in chunks]
-            yield np.frombuffer(b"".join(ids), np.uint32)
+
+
+def alphabet_end(alphabet: dict[str, int]) -> str:
+    """The character of the byte that stands for a word's end, which no text has."""
+    return next(c for c, b in alphabet.items() if b == WORD_END[0])
