@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, ledger, verdict
 from ..storage import scratch
 from ..streaming import events as stream
+from ..streaming.alerts import misdirected_write_alerts
 from . import adjudication
 from .registry import ORACLE_SQL, query, read
 
@@ -221,3 +222,27 @@ def stream_stale_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("current"))
     writes = _stream(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn")
     return _ran(spark, stream.stale_write_alerts(writes, current, "conv_id", "turn"))
+
+
+@query(
+    """WITH w AS (SELECT conv_id, 1000 * conv_id + turn AS write_id, turn - 1 - CASE WHEN turn % 5 = 3 THEN 2 ELSE 0 END AS turn, turn AS at, conv_id + (turn % 3 = 1)::INT AS record FROM conversations WHERE role = 'assistant'),
+    j AS (SELECT w.*, (SELECT max(t.turn) FROM conversations t WHERE t.conv_id = w.conv_id AND t.role = 'user' AND t.turn <= w.at) AS now,
+                 (SELECT count(*) FROM conversations t WHERE t.conv_id = w.conv_id AND t.role = 'user' AND t.turn <= w.at AND t.turn % 4 = 0) AS bound FROM w)
+    SELECT conv_id, write_id, turn, record, CASE WHEN bound = 0 OR record <> conv_id THEN 'record' ELSE 'turn' END AS reason FROM j WHERE bound = 0 OR record <> conv_id OR now IS NULL OR turn <> now"""
+)
+def stream_misdirected_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' turns and assistants' writes as two live streams, a turn a minute; every fourth turn binds the conversation to its record."""
+    rows = _stream(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role")
+    at = lambda s: F.timestamp_seconds(s + 1_700_000_000)
+    said = rows.where("role = 'user'").select("conv_id", "turn", F.when(F.col("turn") % 4 == 0, F.col("conv_id")).alias("record"), at(60 * F.col("turn")).alias("ts"))
+    # a tick of another conversation, years later, ends the lateness of all rows
+    tick = F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("record"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts"))
+    turns = said.select(F.inline(F.array(F.struct("conv_id", "turn", "record", "ts"), tick)))
+    number = F.col("turn")
+    writes = rows.where("role = 'assistant'").select(
+        "conv_id", (1000 * F.col("conv_id") + number).alias("write_id"), (number - 1 - F.when(number % 5 == 3, 2).otherwise(0)).alias("turn"), (F.col("conv_id") + (number % 3 == 1).cast("int")).alias("record"), at(60 * number + 30).alias("ts")
+    )
+    folder = scratch(spark, "alerts")
+    alerts = misdirected_write_alerts(turns, writes, "ts")
+    stream.run_stateful(alerts, f"{folder}/out", f"{folder}/log")
+    return spark.read.schema(alerts.schema).parquet(f"{folder}/out")

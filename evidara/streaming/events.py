@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .alerts import PROVIDER
+
 
 def live_status(events: DataFrame, page: str, status: str, order: list[str]) -> DataFrame:
     """The current status of each page; for `update` mode."""
@@ -40,6 +42,17 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     writer.format("parquet").start(path).awaitTermination()
 
 
+def run_stateful(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """run_available for streams with state of their own, which needs a store with column families."""
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER[0])
+    conf.set(*PROVIDER)
+    try:
+        run_available(stream, path, checkpoint)
+    finally:
+        conf.set(PROVIDER[0], before)
+
+
 def run_updates(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Take in all that is there now in `update` mode; every batch's changed rows are kept with its number, once however often it is tried."""
 
