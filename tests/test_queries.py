@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from evidara.plans import accounts, adjudication, records, registry, toolkit  # noqa: F401
+from evidara.plans import access, accounts, adjudication, records, registry, toolkit  # noqa: F401
 
 
 def rows(columns, values):
