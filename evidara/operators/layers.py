@@ -19,6 +19,18 @@ def by_short_key(merged: DataFrame, group: list[str]) -> DataFrame:
     return merged.groupBy(*group, F.element_at("path", -1).alias("key")).agg(F.count("*").alias("paths"), F.when(F.count("*") == 1, F.min("value")).alias("value"))
 
 
+def short_values(merged: DataFrame, group: list[str], wanted: DataFrame) -> DataFrame:
+    """group, key, path, value for wanted(group, key): the one leaf whose path ends in the key. A key that no leaf has is an error, and so is one that several have, which names them; leaves within arrays don't count."""
+    leaves = merged.where(F.size("positions") == 0) if "positions" in merged.columns else merged
+    found = leaves.select(*group, F.element_at("path", -1).alias("key"), F.struct(F.array_join("path", ".").alias("path"), "value").alias("leaf"))
+    by = found.groupBy(*group, "key").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
+    joined = wanted.select(*group, "key").join(by, [*group, "key"], "left")
+    stop = lambda *c: F.raise_error(F.concat(*c)).cast("struct<path: string, value: string>")
+    places = F.array_join(F.transform("leaves", lambda x: x["path"]), ", ")
+    one = F.when(F.col("leaves").isNull(), stop(F.lit("missing config value `"), "key", F.lit("`"))).when(F.size("leaves") > 1, stop(F.lit("ambiguous config value `"), "key", F.lit("` found at: "), places)).otherwise(F.get("leaves", 0))
+    return joined.withColumn("one_", one).select(*group, "key", "one_.path", "one_.value")
+
+
 def array_key(code: Column, ident: Column) -> Column:
     """What identifies the items of one array: 'code' if all have one, else 'id' if all have one, else null. Empty identifiers are an error."""
     whole = lambda c: F.bool_and(c.isNotNull())

@@ -94,6 +94,16 @@ def payback(years: DataFrame, project: str, year: str, net: str) -> DataFrame:
     return years.withColumn("net_", total).groupBy(project).agg(F.min(F.when(F.col("net_") >= 0, F.col(year))).alias("payback_year"))
 
 
+def returns(years: DataFrame, project: str, year: str, cost: str, gain: str) -> DataFrame:
+    """project, year, net, running_net and running_return (net gain so far over cost so far, null without cost) in cents; years that repeat are one, a null amount is none."""
+    amount = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    by = years.groupBy(project, year).agg(amount(cost).alias("cost_"), amount(gain).alias("gain_"))
+    # a row a project and year
+    so_far = Window.partitionBy(project).orderBy(year).rowsBetween(Window.unboundedPreceding, 0)
+    spent, net = F.sum("cost_").over(so_far), F.sum(F.col("gain_") - F.col("cost_")).over(so_far)
+    return by.select(project, year, (F.col("gain_") - F.col("cost_")).alias("net"), net.alias("running_net"), F.round(F.try_divide(net, spent), 6).alias("running_return"))
+
+
 def delivered(stories: DataFrame, epic: str, status: str, closed: DataFrame) -> DataFrame:
     """Epics of which every story is done and no close-out exists."""
     return stories.groupBy(epic).agg(F.bool_and(F.col(status) == "done").alias("done_")).where("done_").select(epic).join(closed, epic, "left_anti")

@@ -47,9 +47,10 @@ def string_list(json: Column, label: str) -> Column:
 def review_layers(groups: DataFrame, layers: DataFrame, key: str) -> DataFrame:
     """key, text for every key of groups: the sections of its active layers(key, pos, id, name, when, instruction) in order, or the halt text.
 
-    A layer with a blank instruction is not active; ids that repeat within a key are an error.
+    A layer with a blank instruction is not active; ids that repeat within a key are an error, and so is a condition that is given and blank.
     """
-    section = text.section(F.col("id"), F.col("name"), F.col("when"), F.col("instruction"))
+    when = F.when(F.col("when").isNotNull(), non_empty(F.col("when"), "when"))
+    section = text.section(F.col("id"), F.col("name"), when, F.col("instruction"))
     active = F.when(text.stripped(F.col("instruction")) != "", F.struct("pos", section.alias("section")))
     by = layers.groupBy(key).agg(F.array_sort(F.collect_list(active)).alias("sections"), F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
     joined = F.when(F.col("n") > F.col("ids"), F.raise_error(F.lit("a review layer's id repeats")).cast("string")).otherwise(F.array_join(F.transform("sections", lambda x: x["section"]), "\n\n"))

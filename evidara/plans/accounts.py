@@ -157,6 +157,18 @@ def payback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.payback(years.join(F.broadcast(share)).withColumn("net", net), "o_orderpriority", "year", "net")
 
 
+@query(
+    f"""WITH y AS (SELECT o_orderpriority, year(o_orderdate)::INT AS year, sum({CENTS_SQL.format("o_totalprice")})::BIGINT AS gain, sum(CASE WHEN o_orderstatus = 'F' THEN {CENTS_SQL.format("o_totalprice")} ELSE 0 END)::BIGINT AS cost FROM orders GROUP BY 1, 2),
+    n AS (SELECT *, sum(gain - cost) OVER w AS running_net, sum(cost) OVER w AS spent FROM y WINDOW w AS (PARTITION BY o_orderpriority ORDER BY year))
+    SELECT o_orderpriority, year, gain - cost AS net, running_net::BIGINT AS running_net, round(running_net::DOUBLE / nullif(spent, 0)::DOUBLE, 6) AS running_return FROM n"""
+)
+def yearly_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities as projects: all orders are gains, finished ones costs."""
+    cents = ledger.cents(F.col("o_totalprice"))
+    rows = read(spark, sf_dir, "orders").select("o_orderpriority", F.year("o_orderdate").alias("year"), F.when(F.col("o_orderstatus") == "F", cents).alias("cost"), cents.alias("gain"))
+    return ledger.returns(rows, "o_orderpriority", "year", "cost", "gain")
+
+
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a stream of its files; the pattern names a file or a folder alike."""
     path = f"{sf_dir}/{name}.parquet"

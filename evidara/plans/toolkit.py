@@ -136,6 +136,16 @@ def short_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.by_short_key(rows, ["c_custkey"])
 
 
+@query("SELECT c_custkey, key, CASE key WHEN 'key' THEN 'nation.key' ELSE 'segment' END AS path, CASE key WHEN 'key' THEN c_nationkey::VARCHAR ELSE c_mktsegment END AS value FROM customer, (VALUES ('key'), ('segment')) k(key) WHERE key = 'key' OR c_custkey % 3 <> 0")
+def short_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings looked up by the last part of their path, where it is the only one of its name."""
+    c = read(spark, sf_dir, "customer")
+    leaf = lambda rows, path, value: rows.select("c_custkey", F.array(*[F.lit(p) for p in path]).alias("path"), value.cast("string").alias("value"))
+    rows = leaf(c, ["segment"], F.col("c_mktsegment")).union(leaf(c, ["nation", "key"], F.col("c_nationkey"))).union(leaf(c.where("c_custkey % 3 = 0"), ["old", "segment"], F.lit("x")))
+    wanted = c.select("c_custkey", F.explode(F.array(F.lit("key"), F.lit("segment"))).alias("key")).where("key = 'key' or c_custkey % 3 <> 0")
+    return layers.short_values(rows, ["c_custkey"], wanted)
+
+
 @query("SELECT c_custkey, 'nation.key' AS path, c_nationkey::VARCHAR AS value FROM customer WHERE c_acctbal <= 9000 UNION ALL SELECT c_custkey, 'nation.name', 'n' || c_nationkey FROM customer WHERE c_acctbal <= 9000")
 def dotted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies below `nation`; customers that don't have it have no row."""

@@ -150,3 +150,23 @@ def test_bullets_end_lines_where_python_does(spark):
     for row in got:
         lines = row["items"][0].splitlines() or [""]
         assert row["t"] == "\n".join(["- " + lines[0], *("  " + x for x in lines[1:])])
+
+
+def test_short_keys_that_are_missing_or_ambiguous_are_errors(spark):
+    merged = spark.createDataFrame([(1, ["a", "k"], [], "1"), (1, ["b", "k"], [], "2"), (1, ["b", "m"], [], "3"), (1, ["l", "0", "m"], [2], "4")], "g int, path array<string>, positions array<int>, value string")
+    find = lambda key: layers.short_values(merged, ["g"], spark.createDataFrame([(1, key)], "g int, key string")).collect()
+    assert find("m")[0][:] == (1, "m", "b.m", "3")
+    with pytest.raises(Exception, match="ambiguous config value `k` found at: a.k, b.k"):
+        find("k")
+    with pytest.raises(Exception, match="missing config value `z`"):
+        find("z")
+
+
+def test_a_blank_condition_is_an_error(spark):
+    from evidara.operators import render
+
+    rows = lambda when: spark.createDataFrame([(1, 1, "a", "A", when, "do")], "k int, pos int, id string, name string, when string, instruction string")
+    keys = spark.createDataFrame([(1,)], "k int")
+    assert "Run only when" not in render.review_layers(keys, rows(None), "k").first()["text"]
+    with pytest.raises(Exception, match="when must not be empty"):
+        render.review_layers(keys, rows(" \n"), "k").collect()
