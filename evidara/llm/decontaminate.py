@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, pieces
 from .textarrays import NOT_SPACE, Hasher, lowered, shingles, text_slices, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 PART = 1 << 20
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 RADIUS = 7
 BITS, PARTS = 64, 4
 
@@ -283,6 +283,10 @@ class Parts:
             if len(self.indexes) > 1:
                 vars(b).pop("_value", None)  # it is read again from the worker's disk, so that one at a time is held
 
+    def batches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches in small pieces, but as they are where each opens several indexes."""
+        return pieces(batches) if len(self.indexes) == 1 else batches
+
     def matches(self, texts: pa.Array, hasher: Hasher) -> Iterator[tuple[int, Index, tuple[int, int, float, int, int]]]:
         """(row, index, one of its matches) in the texts of a batch; with one index it goes slice by slice, else each index is opened once a batch."""
         some: list[tuple[int, np.ndarray, np.ndarray]] = []
@@ -309,7 +313,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in batches:
+        for b in parts.batches(batches):
             ids = b.column("doc_id").to_pylist()
             rows = [(ids[row], index.ids[m[1]], *m[2:]) for row, index, m in parts.matches(b.column("text"), hasher)]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
@@ -324,7 +328,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in batches:
+        for b in parts.batches(batches):
             ok = np.ones(b.num_rows, bool)
             ok[[row for row, _, _ in parts.matches(b.column("text"), hasher)]] = False
             yield b.filter(pa.array(ok))

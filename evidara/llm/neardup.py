@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import bit_table, cut, may_hold, reread
+from .tables import bit_table, cut, may_hold, pieces, reread
 from .textarrays import NOT_SPACE, Hasher, lowered, mixed, shingles, text_slices, words
 
 ROWS, BANDS = 6, 40
@@ -102,7 +102,7 @@ def class_names(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in batches:
+        for b in pieces(batches):
             ids = b.column("doc_id").cast(pa.int64())
             for lo, hi, data, off in text_slices(b.column("text")):
                 h, at = shingle_sets(data, off, size, hasher)
@@ -125,7 +125,7 @@ def _sets(size: int, wanted: bytes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in batches:
+        for b in pieces(batches):
             b = b.filter(pa.array(may_hold(wanted, b.column("bit").to_numpy(zero_copy_only=False))))
             ids = b.column("doc_id").cast(pa.int64()).to_numpy()
             for lo, hi, data, off in text_slices(b.column("text")):
@@ -161,7 +161,7 @@ def _pairs(b: pa.RecordBatch, ok: np.ndarray) -> pa.RecordBatch:
 
 def _likely(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             reg = lambda n: np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint16).reshape(-1, REGISTERS)  # noqa: E731,B023
             size = lambda n: b.column(n).to_numpy().astype(float)  # noqa: E731,B023
             yield _pairs(b, estimate(reg("ra"), reg("rb"), size("na"), size("nb")) >= _least(percent) if b.num_rows else np.zeros(0, bool))
@@ -171,7 +171,7 @@ def _likely(percent: int):
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             sa, sb = ([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(k)] for k in ("sa", "sb"))
             yield _pairs(b, np.array([_similar(x, y, percent) for x, y in zip(sa, sb, strict=True)], bool))
 
@@ -208,7 +208,7 @@ def band_values(classes: DataFrame) -> DataFrame:
     """(key, band, class): one row for each class and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             key = band_keys(np.frombuffer(b"".join(b.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(key))), pa.array(np.repeat(b.column("class").to_numpy(), BANDS))], ["key", "band", "class"])
 
@@ -276,7 +276,7 @@ def tiled(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in pieces(batches):
         raw = b.column("shingles").to_pylist()
         h = np.frombuffer(b"".join(raw), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(b.column("class").to_numpy(), [len(r) // 8 for r in raw]))], ["shingle", "class"])

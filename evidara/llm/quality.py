@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import sampled
+from .tables import pieces, sampled
 from .textarrays import NOT_SPACE, Hasher, byte_set, lowered, text_slices, words
 
 PASSAGE = 48
@@ -150,7 +150,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
-    for b in batches:
+    for b in pieces(batches):
         y = b.column("y").to_numpy(zero_copy_only=False)
         for lo, hi, data, off in text_slices(b.column("text")):
             x, begin = passages(data, off, hasher)
@@ -179,7 +179,7 @@ def scored(docs: DataFrame, model: Model | float, name: str = "score") -> DataFr
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
-        for b in batches:
+        for b in pieces(batches):
             out = np.full(b.num_rows, model if isinstance(model, float) else 0.0)
             if isinstance(model, Model):
                 for lo, hi, data, off in text_slices(b.column("text")):

@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; one longer text makes a slice of its own.
-SLICE = 2 << 20
+SLICE = 1 << 19
 #: Bytes whose hashes are summed at once.
-STEP = 4 << 20
+STEP = 1 << 20
 
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
