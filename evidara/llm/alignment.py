@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .tokens import TwoVocabularies, id_code, kept
 
 #: Bytes of text of one block, and events swept at once.
-BLOCK, SWEPT = 32 << 20, 1 << 20
+BLOCK, SWEPT = 8 << 20, 1 << 18
 
 RUN = "block long, row int, doc_id long, start long, side int, ids binary"
 #: Start of the row that says that a document has no tokens, before all of its runs.
@@ -114,9 +114,9 @@ class Sweep:
         return out, self.stops[0] + self.stops[1]
 
 
-def spelled(sizes: tuple[int, int]) -> list[bytes]:
+def spelled(sizes: tuple[int, int]) -> np.ndarray:
     """An id of A with ',' or, last of its group, '|' behind it, an id of B with ',' or ';'."""
-    return [b"%d%s" % (i, mark) for size, marks in zip(sizes, ((b",", b"|"), (b",", b";")), strict=True) for mark in marks for i in range(size)]
+    return np.array([b"%d%s" % (i, mark) for size, marks in zip(sizes, ((b",", b"|"), (b",", b";")), strict=True) for mark in marks for i in range(size)], object)
 
 
 def stretches(rows: Iterator[tuple[int, int, int | None, int, int, bytes | None]], sizes: tuple[int, int]) -> Iterator[list[tuple[tuple[int, int], int | None, np.ndarray, np.ndarray]]]:
@@ -238,7 +238,7 @@ def _aligned(a_path: str, b_path: str, pattern: str):
                 total = [np.concatenate([[0], np.cumsum(v[at])])[stops[3]] for v in (best, count)]
                 numbers = np.diff(np.concatenate([stops, total]), axis=1).T.tolist()
                 codes, upto = sweep.written(sizes)
-                codes, upto = codes.tolist(), [0, *upto.tolist()]
+                written, upto = names[codes].tolist(), [0, *upto.tolist()]
             k = 0
             for own, doc_id, a, _ in some:
                 if own != key:
@@ -247,7 +247,7 @@ def _aligned(a_path: str, b_path: str, pattern: str):
                     rows.append([doc_id, 0, 0, 0, 0, 0, 0, ""])
                 if len(a):
                     rows[-1][1:7] = [x + y for x, y in zip(rows[-1][1:7], numbers[k], strict=True)]
-                    text = b"".join([names[c] for c in codes[upto[k] : upto[k + 1]]])[:-1]
+                    text = b"".join(written[upto[k] : upto[k + 1]])[:-1]
                     if digest is None:
                         digest = hashlib.sha256(text)
                     else:

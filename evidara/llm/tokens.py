@@ -93,12 +93,18 @@ class TwoVocabularies:
     def _learn(self, parts: list[bytes]) -> dict[bytes, tuple[bytes, bytes] | bool]:
         """Ids of ' ' + part by A and of part by B, or False where one of them does not give these bytes back."""
         texts = [p.decode(errors="replace") for p in parts]
-        codes = [id_code(n) for n in self.sizes]
+        code_a, code_b = (id_code(n) for n in self.sizes)
+        of_a, of_b, ranked = self.a_bytes.__getitem__, self.b_bytes.__getitem__, self.ranked.encode_ordinary
         out: dict[bytes, tuple[bytes, bytes] | bool] = {}
         for part, text, b in zip(parts, texts, self.b.encode(texts, num_threads=1), strict=True):
-            a = self.ranked.encode_ordinary(" " + text) if len(part) <= 1000 and (part.isascii() or PLAIN.fullmatch(part)) else self.whole.encode(" " + text, add_special_tokens=False).ids
-            same = b"".join([self.a_bytes[i] for i in a]) == b" " + part == b"".join([self.b_bytes[i] for i in b])
-            out[part] = (array(codes[0], a).tobytes(), array(codes[1], b).tobytes()) if same else False
+            whole = b" " + part
+            if len(part) <= 1000 and (part.isascii() or PLAIN.fullmatch(part)):
+                a = ranked(" " + text)  # by its construction of the same bytes
+                same = b"".join(map(of_b, b)) == whole
+            else:
+                a = self.whole.encode(" " + text, add_special_tokens=False).ids
+                same = b"".join(map(of_a, a)) == whole == b"".join(map(of_b, b))
+            out[part] = (array(code_a, a).tobytes(), array(code_b, b).tobytes()) if same else False
         return out
 
     def encode(self, raw: bytes) -> Iterator[tuple[int, tuple[bytes, bytes] | None]]:
