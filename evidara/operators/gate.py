@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,23 @@ def vote_confidence(votes: DataFrame, page: list[str], label: str) -> DataFrame:
     )
 
 
+class Classifier(Protocol):
+    """page, label, agree, runs for pages; every contender has this shape."""
+
+    def __call__(self, pages: DataFrame) -> DataFrame: ...
+
+
+def voted(page: list[str], label: str) -> Classifier:
+    """The classifier that takes a page's votes in one column and gives the majority."""
+    return lambda votes: vote_confidence(votes, page, label)
+
+
+def contenders(pages: DataFrame, classifiers: dict[str, Classifier]) -> DataFrame:
+    """contender and what each classifier gives for the same pages."""
+    each = [classify(pages).withColumn("contender", F.lit(name)) for name, classify in classifiers.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
 def route(agree: Column, runs: Column, medical: Column) -> Column:
     """Three-way gate, total. The 90% cut is inclusive and exact in integers; unknown values go to triage."""
     sure = 10 * agree >= 9 * runs

@@ -57,12 +57,15 @@ def classifier_scores(pages: DataFrame) -> DataFrame:
 
 
 def accuracy(suggested: DataFrame, expected: DataFrame, contender: list[str]) -> DataFrame:
-    """contender, cases, right, accuracy: how often suggested(contender, case_id, verdict) is expected(case_id, verdict); a case without a suggestion is wrong."""
-    contenders = suggested.select(*contender).distinct()
-    asked = expected.select("case_id", F.col("verdict").alias("expected_")).join(F.broadcast(contenders))
-    hit = F.col("verdict").eqNullSafe(F.col("expected_")).cast("int")
-    joined = asked.join(suggested.select(*contender, "case_id", "verdict"), [*contender, "case_id"], "left")
-    return joined.groupBy(*contender).agg(F.count("*").alias("cases"), F.sum(hit).alias("right"), F.round(F.avg(hit), 6).alias("accuracy"))
+    """contender, cases, right, accuracy: how often suggested(contender, case_id, verdict) is expected(case_id, verdict); a case without a suggestion is wrong, a suggestion for no case counts nothing.
+
+    Cases meet the suggestions there are, not every contender; how many cases there are is one row.
+    """
+    cases = expected.agg(F.count("*").alias("cases"))
+    joined = suggested.select(*contender, "case_id", "verdict").join(expected.select("case_id", F.col("verdict").alias("expected_"), F.lit(True).alias("is_case_")), "case_id", "left")
+    hit = (F.col("is_case_") & F.col("verdict").eqNullSafe(F.col("expected_"))).cast("int")
+    right = joined.groupBy(*contender).agg(F.sum(F.coalesce(hit, F.lit(0))).alias("right"))
+    return right.join(F.broadcast(cases)).select(*contender, "cases", "right", F.round(F.try_divide("right", "cases"), 6).alias("accuracy"))
 
 
 def winner(scores: DataFrame, metric: str, contender: str = "contender") -> DataFrame:

@@ -280,6 +280,6 @@ def case_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scoreboard_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = read(spark, sf_dir, "lineitem")
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") != "O").alias("expected"))
-    of = lambda name, label: gate.vote_confidence(votes, ["l_orderkey"], label).select(F.lit(name).alias("contender"), "l_orderkey", "label", "agree", "runs")
-    pages = of("by_flag", "l_returnflag").union(of("by_status", "l_linestatus")).join(orders, "l_orderkey")
+    page = ["l_orderkey"]
+    pages = gate.contenders(votes, {"by_flag": gate.voted(page, "l_returnflag"), "by_status": gate.voted(page, "l_linestatus")}).join(orders, page)
     return verdict.winner(verdict.classifier_scores(pages.withColumn("medical", F.col("label").isin(*MEDICAL, "F"))), "accuracy")
