@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .tables import cut, sampled
+from .tables import cut, reread, sampled
 
 BLOCK = 16
 #: About so many vectors at most fit the rotation and the pivots. It needs no more: any rotation and any pivots find every pair, better ones with less work.
@@ -240,11 +240,11 @@ def groups(vectors: DataFrame, cosine: float) -> DataFrame:
     rows = vectors.select("vec_id", F.col("label").cast("long").alias("label"), "embedding").withColumn("valid", _valid())
     keyed = rows.withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(1), "embedding")})
     # copies of a vector with one label are one row; the sums start in the map tasks
-    classes = cut(
-        keyed.where("valid").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("n"), F.first("embedding").alias("embedding")).withColumn("cid", F.xxhash64("label", "k1", "k2"))
-    )
-    sample = classes.where(sampled("cid", MAX_FIT / max(1, classes.count()))).select("cid", "embedding").collect()
-    spaces = Subspaces([np.array(r["embedding"], np.float64) for r in sorted(sample, key=lambda r: r["cid"])], cosine)
+    classes = keyed.where("valid").groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
+    # numbers that no two classes share; they are fixed by writing them down
+    classes = reread(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    sample = classes.where(sampled("k1", MAX_FIT / max(1, classes.count()))).select("label", "k1", "k2", "embedding").collect()
+    spaces = Subspaces([np.array(r["embedding"], np.float64) for r in sorted(sample, key=lambda r: (r["k1"], r["k2"], r["label"]))], cosine)
     placed = cut(classes.select("label", "cid", "embedding").mapInArrow(_place(spaces), "label long, d int, block int, cell int, visitor int, cid long, at binary"))
     cell = ["label", "d", "block", "cell"]
     hot = placed.groupBy(*cell).agg(F.count("*").alias("size")).where(F.col("size") > TILE).select(*cell, F.ceil(F.col("size") / TILE).cast("int").alias("m"))
