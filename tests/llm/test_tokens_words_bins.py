@@ -237,6 +237,14 @@ def test_spelling_odd_rows_and_chains(spark, monkeypatch):
     assert spelling.variants(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_spelling_deletes_nothing_without_a_doc_id():
+    letters = (f"spelling{a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh")
+    words = [w for w in letters if any(zlib.crc32(f"{prefix}:{w}".encode()) % 31 == 0 for prefix in ("", "None", 5))]
+    text = " ".join(words).encode()
+    assert dict(spelling.document_words(None, text)) == dict.fromkeys(words, 1)
+    assert dict(spelling.document_words(5, text)) == dict(plain_words([(5, text.decode())] * 2)) | {w: 1 for w, n in spelling.document_words(5, text)}
+
+
 # packing
 
 
