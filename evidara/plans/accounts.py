@@ -247,14 +247,14 @@ def stream_misdirected_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _stream(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role")
     at = lambda s: F.timestamp_seconds(s + 1_700_000_000)
     said = rows.where("role = 'user'").select("conv_id", "turn", F.when(F.col("turn") % 4 == 0, F.col("conv_id")).alias("record"), at(60 * F.col("turn")).alias("ts"))
-    # a tick of another conversation, years later, ends the lateness of all rows
-    tick = F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("record"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts"))
-    turns = said.select(F.inline(F.array(F.struct("conv_id", "turn", "record", "ts"), tick)))
+    folder = scratch(spark, "alerts")
+    # a tick of another conversation, years later, ends the lateness of all rows; it comes once, however many rows there are
+    spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit(0).cast("long").alias("record"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("ts")).write.parquet(f"{folder}/tick")
+    turns = said.union(spark.readStream.schema(said.schema).parquet(f"{folder}/tick"))
     number = F.col("turn")
     writes = rows.where("role = 'assistant'").select(
         "conv_id", (1000 * F.col("conv_id") + number).alias("write_id"), (number - 1 - F.when(number % 5 == 3, 2).otherwise(0)).alias("turn"), (F.col("conv_id") + (number % 3 == 1).cast("int")).alias("record"), at(60 * number + 30).alias("ts")
     )
-    folder = scratch(spark, "alerts")
     alerts = misdirected_write_alerts(turns, writes, "ts")
     stream.run_stateful(alerts, f"{folder}/out", f"{folder}/log")
     return spark.read.schema(alerts.schema).parquet(f"{folder}/out")

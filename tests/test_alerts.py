@@ -60,3 +60,19 @@ def test_a_silent_conversation_is_forgotten(live):
     assert live([(1, 1, 10, 0)] + TICK(5000), [(1, 1, 1, 10, 60)], keep="1 hour") == []
     assert live(TICK(9000), [(1, 2, 1, 10, 5100)], keep="1 hour") == [(2, "record")]
     assert live(TICK(9900), [(1, 3, 1, 10, 9500)], keep="1 hour") == [(2, "record"), (3, "record")]
+
+
+def test_a_conversation_waits_for_one_timer_and_keeps_repeated_turns_once():
+    """Whatever the number of rows, a few calls to the state take them in."""
+    from types import SimpleNamespace
+
+    from evidara.streaming.alerts import Misdirected
+
+    calls = []
+    record = lambda name: lambda *a: calls.append((name, *a))
+    m = Misdirected(1000)
+    m.handle, m.open = SimpleNamespace(registerTimer=record("timer")), SimpleNamespace(appendValue=record("value"), appendList=record("list"))
+    rows = [{"at": 5_000, "is_write": False, "write_id": None, "turn": 1, "record": 1}] * 500 + [{"at": 9_000 + k, "is_write": True, "write_id": 7, "turn": 1, "record": 1} for k in (0, 0, 1)]
+    assert list(m.handleInputRows((1,), iter(rows), None)) == []
+    assert [c[0] for c in calls] == ["list", "timer"]
+    assert len(calls[0][1]) == 4 and calls[1][1] == 5
