@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import dealt
+
 CALLER = "evidara_caller"
 FOUND, NOT_FOUND = 200, 404
 
@@ -41,4 +43,4 @@ def answers(requests: DataFrame, view: str, key: str) -> DataFrame:
     """requests(key) with status and the record's columns: what the caller does not own and what is not there get the same answer."""
     rows = requests.sparkSession.table(view)
     found = rows.withColumn("status", F.lit(FOUND))
-    return requests.select(key).join(found, key, "left").withColumn("status", F.coalesce("status", F.lit(NOT_FOUND)))
+    return dealt(requests.select(key), key).join(found, key, "left").withColumn("status", F.coalesce("status", F.lit(NOT_FOUND)))
