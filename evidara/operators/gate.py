@@ -8,16 +8,18 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dealt
+
 EXTRACT, ASK, TRIAGE, REMOVED = "extract", "ask_customer", "triage", "removed"
 
 
 def vote_confidence(votes: DataFrame, page: list[str], label: str) -> DataFrame:
     """page, label, agree, runs: the most frequent label (ties: the smallest), its votes, and all votes.
 
-    Two sums with map-side combine; a page of very many votes is one row a label before the shuffle.
+    Votes are dealt out by page to as many tasks as they need; a page of very many votes is a row a label in its task.
     Null labels are no votes.
     """
-    counted = votes.where(F.col(label).isNotNull()).groupBy(*page, label).agg(F.count("*").alias("n"))
+    counted = dealt(votes.select(*page, label), *page).where(F.col(label).isNotNull()).groupBy(*page, label).agg(F.count("*").alias("n"))
     return counted.groupBy(*page).agg(
         F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias("label"),
         F.max("n").alias("agree"),
