@@ -21,12 +21,12 @@ def verdicts(cases: DataFrame, hits: DataFrame, unverified: DataFrame | None = N
 
     refer: no rule was retrieved, a deciding fact is unverified, or rules of one impairment conflict;
     hits(case_id, impairment, rule_id, action, debit_pct, triggered). Sums are by case and impairment
-    first, so a case with very many facts is combined in the map tasks.
+    first; hits that are dealt out by case stay where they are, and the cases come to them.
     """
     fired = F.col("triggered")
     by = hits.groupBy("case_id", "impairment").agg(
         F.max(F.when(fired & (F.col("action") == "decline"), 1).otherwise(0)).alias("decline"),
-        F.count_distinct(F.when(fired, F.col("action"))).alias("actions"),
+        F.size(F.collect_set(F.when(fired, F.col("action")))).alias("actions"),
         F.sum(F.when(fired & (F.col("action") == "debit"), F.col("debit_pct")).otherwise(0)).alias("debit"),
         F.array_sort(F.collect_set(F.when(fired, F.col("rule_id")))).alias("rules"),
     )
