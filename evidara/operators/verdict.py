@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import dealt
+
 
 def in_band(value: Column) -> Column:
     """Whether the half-open band [lo, hi) holds the value; null bounds are open."""
@@ -62,7 +64,8 @@ def accuracy(suggested: DataFrame, expected: DataFrame, contender: list[str]) ->
     Cases meet the suggestions there are, not every contender; how many cases there are is one row.
     """
     cases = expected.agg(F.count("*").alias("cases"))
-    joined = suggested.select(*contender, "case_id", "verdict").join(expected.select("case_id", F.col("verdict").alias("expected_"), F.lit(True).alias("is_case_")), "case_id", "left")
+    known = dealt(expected.select("case_id", F.col("verdict").alias("expected_"), F.lit(True).alias("is_case_")), "case_id")
+    joined = suggested.select(*contender, "case_id", "verdict").join(known, "case_id", "left")
     hit = (F.col("is_case_") & F.col("verdict").eqNullSafe(F.col("expected_"))).cast("int")
     right = joined.groupBy(*contender).agg(F.sum(F.coalesce(hit, F.lit(0))).alias("right"))
     return right.join(F.broadcast(cases)).select(*contender, "cases", "right", F.round(F.try_divide("right", "cases"), 6).alias("accuracy"))

@@ -85,8 +85,9 @@ EXPECTED_SQL = "SELECT o_orderkey AS case_id, CASE WHEN o_orderstatus = 'P' THEN
 def verdict_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two contenders against expected verdicts; the careful one refers what it would decline and leaves standard cases open."""
     suggested = adjudication.case_verdict(spark, sf_dir).select("case_id", "verdict")
-    careful = suggested.where("verdict <> 'standard'").withColumn("verdict", F.when(F.col("verdict") == "decline", "refer").otherwise(F.col("verdict")))
-    both = suggested.withColumn("contender", F.lit("rules")).unionByName(careful.withColumn("contender", F.lit("careful")))
+    careful = F.when(F.col("verdict") == "decline", "refer").when(F.col("verdict") != "standard", F.col("verdict"))
+    each = F.array(F.struct(F.lit("rules").alias("contender"), "verdict"), F.struct(F.lit("careful").alias("contender"), careful.alias("verdict")))
+    both = suggested.select("case_id", F.inline(each)).where("contender = 'rules' OR verdict IS NOT NULL")
     o = read(spark, sf_dir, "orders")
     expected = F.when(F.col("o_orderstatus") == "P", "refer").when(F.col("o_totalprice") > 200_000, "decline").otherwise("loaded")
     return verdict.accuracy(both, o.select(F.col("o_orderkey").alias("case_id"), expected.alias("verdict")), ["contender"])

@@ -239,3 +239,27 @@ def test_uploaded_files(spark, tmp_path):
     assert got.columns == ["path", "content", "uploaded_at"]
     assert {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in got.collect()} == {"a.pdf": b"%PDF-1"}
     assert [r["path"].rsplit("/", 1)[1] for r in files.documents_from_files(spark, str(tmp_path), "*.txt").collect()] == ["b.txt"]
+
+
+def test_rows_are_dealt_by_key_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    from evidara import storage
+    from evidara.operators import gate, ownership, verdict
+
+    monkeypatch.setattr(storage, "ROWS", 10)
+    n = 30
+    votes = spark.range(10 * n).select((F.col("id") % 200).alias("page"), F.lit("A").alias("label"))
+    assert storage.dealt(votes, "page").rdd.getNumPartitions() == n
+    confident = gate.vote_confidence(votes, ["page"], "label")
+    assert confident.rdd.getNumPartitions() == n and confident.count() == 200
+    ownership.owned_view(votes.select("page", F.lit("1").alias("owner")), "dealt_votes", "owner")
+    assert ownership.answers(votes, "dealt_votes", "page").rdd.getNumPartitions() == n
+    cases = votes.select(F.col("page").alias("case_id"), F.col("label").alias("verdict"))
+    plan = verdict.accuracy(cases.withColumn("contender", F.lit("c")), cases, ["contender"])._jdf.queryExecution().executedPlan().toString()
+    assert f"hashpartitioning(case_id#" in plan and f", {n})" in plan
+
+
+def test_a_few_rules_are_carried_to_the_facts(spark, sf_dir):
+    from evidara.plans import adjudication
+
+    plan = adjudication.rule_trigger(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(impairment" not in plan and "BroadcastHashJoin" in plan
