@@ -114,3 +114,10 @@ def test_queries_are_not_collected_and_rules_scanned_once_for_many(spark, tmp_pa
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Join" not in plan and "FileScan" not in plan
     assert got.count() == 200_000
+
+
+def test_the_scoreboard_works_out_hits_and_quotes_once(spark, sf_dir):
+    from evidara.plans import adjudication
+
+    plan = adjudication.scoreboard_retrieval(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEval" not in plan and "MapInArrow" not in plan and "parquet" not in plan.lower()
