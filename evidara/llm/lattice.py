@@ -59,6 +59,15 @@ def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
     return pieces, np.log10(weight / weight.sum())
 
 
+def _order(depth: np.ndarray, z: np.ndarray, n: int) -> np.ndarray:
+    """The edges by depth and then z, equal ones as they come; z is below n."""
+    bits = len(z).bit_length()
+    if not len(z) or (int(depth.max()) + 1) * n >> 63 - bits:
+        return np.lexsort((z, depth))
+    # one sort of plain numbers, each with its place in the low bits
+    return np.sort((depth * n + z) << bits | np.arange(len(z))) & (1 << bits) - 1
+
+
 class Lattice:
     """Finds the pieces at every place of many words and sums over all segmentations. Logarithms are of base 10."""
 
@@ -70,23 +79,32 @@ class Lattice:
         key = self.hasher.of(data, ends - size, ends)
         self.order = np.argsort(key)
         self.key, self.longest = key[self.order], int(size.max())
-        self.some = np.zeros(1 << 20, bool)
-        self.some[key >> np.uint64(44)] = True
+        # by the upper bits of a hash: whether a piece has them, the first of these pieces, and how many they are at most
+        heads = np.bincount((key >> np.uint64(44)).astype(np.int64), minlength=1 << 20)
+        self.some, self.first, self.most = heads > 0, np.cumsum(heads) - heads, int(heads.max())
+        # no piece goes on where no prefix of one stands
+        self.opens = np.zeros(1 << 20, bool)
+        for n in range(1, self.longest):
+            at = (ends - size)[size > n]
+            self.opens[self.hasher.of(data, at, at + n) >> np.uint64(44)] = True
 
     def edges(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(from byte, to byte, piece) of every piece inside the words, which follow each other without gaps."""
         stop = np.repeat(ends, ends - starts)
         place = np.arange(len(data))
+        hashes = self.hasher.runs(data)
         parts = []
         for n in range(1, self.longest + 1):
             at = place[place + n <= stop[place]]
             if not len(at):
                 break
-            place = at
-            key = self.hasher.of(data, at, at + n)
-            may = self.some[key >> np.uint64(44)]
+            key = hashes(at, at + n)
+            head = key >> np.uint64(44)
+            place, may = at[self.opens[head]], self.some[head]
             at, key = at[may], key[may]
-            i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            i = self.first[head[may]]
+            for _ in range(self.most - 1):
+                i = np.minimum(i + (self.key[i] < key), len(self.key) - 1)
             hit = self.key[i] == key
             parts.append((at[hit], np.full(hit.sum(), n), self.order[i[hit]]))
         a = np.concatenate([p[0] for p in parts])
@@ -97,7 +115,7 @@ class Lattice:
         """Log sums of the paths from each word's start to each place, by the depth of the edges' ends."""
         f = np.full(n, -np.inf)
         f[starts] = 0.0
-        order = np.lexsort((z, depth))
+        order = _order(depth, z, n)
         a, z, lp, depth = a[order], z[order], lp[order], depth[order]
         bounds = np.flatnonzero(np.concatenate([[True], depth[1:] != depth[:-1]])) if len(depth) else np.zeros(0, int)
         ends = np.append(bounds[1:], len(depth)).astype(int)
@@ -110,12 +128,15 @@ class Lattice:
             f[to[first]] = top + np.log10(np.add.reduceat(10.0 ** (value - np.repeat(top, np.diff(np.append(first, j - i)))), first))
         if tail < len(bounds):  # what the longest words have left: few edges a depth, for which plain numbers do
             begin = bounds[tail]
-            f, todo = f.tolist(), zip(a[begin:].tolist(), z[begin:].tolist(), lp[begin:].tolist(), strict=True)
+            sums = dict(zip(a[begin:].tolist(), f[a[begin:]].tolist(), strict=True))
+            todo, ends = zip(a[begin:].tolist(), z[begin:].tolist(), lp[begin:].tolist(), strict=True), []
             for to, some in itertools.groupby(todo, key=lambda e: e[1]):
-                value = [f[at] + p for at, _, p in some]
+                value = [sums[at] + p for at, _, p in some]
                 top = max(value)
-                f[to] = top + math.log10(sum(10.0 ** (v - top) for v in value)) if top > -math.inf else top
-        return np.asarray(f)
+                sums[to] = top + math.log10(sum(10.0 ** (v - top) for v in value)) if top > -math.inf else top
+                ends.append(to)
+            f[ends] = [sums[to] for to in ends]
+        return f
 
     def run(self, data: np.ndarray, off: np.ndarray, weight: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities of the words data[off[i]:off[i + 1]], and the expected counts of the pieces, each word `counts` times."""

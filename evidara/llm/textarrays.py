@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -99,13 +99,17 @@ class Hasher:
         return out
 
     def _of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.runs(data)(starts, ends)
+
+    def runs(self, data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """What hashes runs of `data` by their starts and ends; memory follows `data`."""
         n = len(data) + 1
         if len(self.up) < n:
             grow = lambda b: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, b, np.uint64))])
             self.up, self.down = grow(np.uint64(self.BASE)), grow(np.uint64(pow(self.BASE, -1, 1 << 64)))
         total = np.zeros(n, np.uint64)
         np.cumsum(self.byte[data] * self.up[: n - 1], out=total[1:])
-        return mixed((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        return lambda starts, ends: mixed((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingles(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
