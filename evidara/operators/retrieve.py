@@ -5,8 +5,9 @@ triangle inequality bounds the similarity to anything in a cell; postings lie in
 a term's highest weight in a shard bounds what the shard's rules can score. A query first looks where its bound is
 highest, and then only where the bound reaches its k-th best score.
 
-The index of the rules is carried to the queries where it is small, which is measured; else queries are joined with
-the cells or shards that they visit, as tables. Queries are never collected.
+The index of the rules is carried to the queries where it is small, which is measured. Else texts asked for that are few and
+small, which is measured too, are carried to the rules, of whose words only those asked for are kept; and other queries
+are joined with the cells or shards that they visit, as tables.
 
 Defined cases: a null query_id or rule_id matches nothing; queries that share an id have one ranking, and rules that share
 one are each in it; null and zero vectors, vectors with null or non-finite components and vectors of another
@@ -29,12 +30,16 @@ from ..storage import cut
 
 #: Bytes of rules (vectors, texts) up to which their index is carried to the queries.
 SMALL = 32 << 20
+#: Queries, and bytes of them, up to which they are carried to rules that are more.
+FEW, ASKED = 1_000, 1 << 20
 #: Pivots of the vectors' cells, and rules from whose sample they are taken; more or fewer only change the work.
 PIVOTS, SAMPLE = 64, 2_000
 #: Rules and queries of one task where cells are joined; bytes of text of one shard, and queries that meet it in one task.
 TILE, SHARD, MET = 8_192, 4 << 20, 20_000
-#: Scores that are held at once.
-HELD = 2_000_000
+#: Shards of one task, on average; a task gets its shards in one batch.
+SHARDS = 2
+#: Scores and weights that are held at once, and texts whose words are.
+HELD, TEXTS = 2_000_000, 1_000
 
 HIT = "query_id long, rule_id long, score double"
 
@@ -64,10 +69,16 @@ class Best:
 
     def add(self, rows: np.ndarray, score: np.ndarray, rule: np.ndarray) -> None:
         """Scores (rows x rules) of some of the queries; -inf is no hit."""
-        score = np.concatenate([self.score[rows], score], 1)
-        rule = np.concatenate([self.rule[rows], np.broadcast_to(rule, (len(rows), len(rule)))], 1)
-        order = np.lexsort((rule, -score), axis=1)[:, : self.k]
-        self.score[rows], self.rule[rows] = np.take_along_axis(score, order, 1), np.take_along_axis(rule, order, 1)
+        # only what reaches the k-th best so far and the k-th best of the new ones is put in order
+        floor = self.least()[rows]
+        if score.shape[1] > self.k:
+            floor = np.maximum(floor, np.partition(score, -self.k, axis=1)[:, -self.k])
+        row, at = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+        held = np.repeat(np.arange(len(rows)), self.k)
+        of, value, name = np.concatenate([held, row]), np.concatenate([self.score[rows].ravel(), score[row, at]]), np.concatenate([self.rule[rows].ravel(), rule[at]])
+        order = np.lexsort((name, -value, of))
+        order = order[np.searchsorted(of[order], np.arange(len(rows)))[:, None] + np.arange(self.k)]
+        self.score[rows], self.rule[rows] = value[order], name[order]
 
     def table(self) -> pa.RecordBatch:
         ok = self.score > -np.inf
@@ -78,6 +89,11 @@ def _bytes(df: DataFrame, size: Column) -> int:
     return int(df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"])
 
 
+def _few(queries: DataFrame, size: Column) -> bool:
+    found = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= FEW and found["bytes"] <= ASKED
+
+
 # vectors
 
 UNIT = "id long, dim int, x binary"
@@ -317,9 +333,8 @@ class Postings:
 
     def score(self, best: Best, rows: np.ndarray, query: np.ndarray, place: np.ndarray, idf: np.ndarray, digits: int) -> None:
         """Adds the scores of the queries `rows`; (query, place, idf) are their words that the shard has, in order of query and term."""
-        step = max(1, HELD // max(1, len(self.rules)))
-        for lo in range(0, len(rows), step):
-            some = rows[lo : lo + step]
+        pairs = np.bincount(query, np.diff(self.begin)[place], int(rows[-1]) + 1)[rows]
+        for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(np.maximum(pairs, len(self.rules))) // HELD)) + 1):
             a, z = np.searchsorted(query, some[0]), np.searchsorted(query, some[-1], "right")
             own = np.searchsorted(some, query[a:z])
             own_ok = (own < len(some)) & (some[np.minimum(own, len(some) - 1)] == query[a:z])
@@ -372,6 +387,15 @@ def _build(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     return pa.Table.from_pydict(arrays)
 
 
+def _index(rules: DataFrame, size: int) -> DataFrame:
+    """A row of SHARDED for each shard of the rules, whose texts have `size` bytes."""
+    shards = max(1, -(-size // SHARD))
+    shard = F.pmod(F.xxhash64("rule_id", "text"), F.lit(shards)).cast("int")
+    words = rules.select(shard.alias("shard"), F.col("rule_id").cast("long"), terms(F.col("text")).alias("words"))
+    # Spark's own number of partitions is fixed and its batches are counted in rows: a task's batch would grow with the rules
+    return words.repartition(max(rules.sparkSession.sparkContext.defaultParallelism, -(-shards // SHARDS)), "shard").groupBy("shard").applyInArrow(_build, SHARDED)
+
+
 def keyword_top_k(queries: DataFrame, rules: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, digits: int = 6) -> DataFrame:
     """BM25 of queries(query_id, text) against rules(rule_id, text), rounded; each query word counts once.
 
@@ -379,10 +403,10 @@ def keyword_top_k(queries: DataFrame, rules: DataFrame, k: int, k1: float = 1.2,
     the words' frequencies.
     """
     size = _bytes(rules, F.octet_length("text"))
-    shard = F.pmod(F.xxhash64("rule_id", "text"), F.lit(max(1, -(-size // SHARD)))).cast("int")
-    words = rules.select(shard.alias("shard"), F.col("rule_id").cast("long"), terms(F.col("text")).alias("words"))
-    index = words.groupBy("shard").applyInArrow(_build, SHARDED)
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.array_sort(F.array_distinct(terms(F.col("text")))).alias("words")).where("query_id is not null and size(words) > 0")
+    if size > SMALL and _few(queries, F.octet_length("text")):
+        return _asked_words(asked, rules, k, k1, b, digits)
+    index = _index(rules, size)
     if size > SMALL:
         return _joined_shards(asked, cut(index), k, k1, b, digits)
     carried = index.sparkSession.sparkContext.broadcast(index.toArrow())
@@ -404,6 +428,52 @@ def keyword_top_k(queries: DataFrame, rules: DataFrame, k: int, k1: float = 1.2,
     return ranked(asked.mapInArrow(run, HIT), k)
 
 
+def _asked_words(asked: DataFrame, rules: DataFrame, k: int, k1: float, b: float, digits: int) -> DataFrame:
+    """Few queries, carried to the rules: once to keep the words asked for of each rule, and once, when these are counted, to score."""
+    queries = asked.toArrow().combine_chunks()
+    lists = queries["words"].chunk(0) if len(queries) else pa.array([], queries.schema.field("words").type)
+    ids, flat = queries["query_id"].to_numpy(), pc.list_flatten(lists)
+    begin = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+    vocabulary = pc.unique(flat)
+    vocabulary = vocabulary.take(pc.array_sort_indices(vocabulary))
+    session = rules.sparkSession.sparkContext
+    carried = session.broadcast(vocabulary)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = max(1, len(carried.value))
+        for batch in (b.slice(lo, TEXTS) for b in batches for lo in range(0, len(b), TEXTS)):
+            words = batch.column("words")
+            place = pc.index_in(pc.list_flatten(words), carried.value)
+            doc = pc.list_parent_indices(words).filter(place.is_valid()).to_numpy().astype(np.int64)
+            key, tf = np.unique(doc * kinds + place.drop_null().to_numpy(), return_counts=True)
+            of = pa.array(np.searchsorted(key // kinds, np.arange(len(batch) + 1)).astype(np.int32))
+            kept = [pa.ListArray.from_arrays(of, pa.array(v.astype(np.int32))) for v in (key % kinds, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column("rule_id"), pc.list_value_length(words), *kept], ["rule_id", "size", "terms", "tf"])
+
+    # a row a rule; a text that is null has no size
+    held = cut(rules.select(F.col("rule_id").cast("long"), terms(F.col("text")).alias("words")).mapInArrow(keep, "rule_id long, size int, terms array<int>, tf array<int>"))
+    sums = held.agg(F.count("*").alias("n"), F.count("size").alias("whole"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    n, mean = sums["n"], sums["size"] / sums["whole"] if sums["size"] else 1.0
+    df = np.zeros(len(vocabulary))
+    for r in held.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # a row a word asked for
+        df[r["term"]] = r["count"]
+    weights = np.log(1 + (n - df + 0.5) / (df + 0.5))[pc.index_in(flat, vocabulary).to_numpy()]
+    asking = session.broadcast((ids, begin, flat, weights))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, begin, flat, weights = asking.value
+        for batch in batches:
+            lists = batch.column("terms")
+            term, doc, tf = pc.list_flatten(lists).to_numpy(), pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(batch.column("tf")).to_numpy()
+            order = np.argsort(term, kind="stable")
+            own, start = np.unique(term[order], return_index=True)
+            row = {"rules": batch.column("rule_id").to_numpy(), "named": np.ones(len(batch), bool), "sizes": batch.column("size").to_numpy(), "begin": np.append(start, len(term)), "doc": doc[order].astype(np.int32), "tf": tf[order]}
+            shard = Postings({c: v.tobytes() for c, v in row.items()} | {"terms": carried.value.take(pa.array(own))}, mean, k1, b)
+            yield _top_words([shard], ids, begin, flat, weights, k, digits).table()
+
+    return ranked(held.where("rule_id is not null and size(terms) > 0").mapInArrow(run, HIT), k)
+
+
 def _joined_shards(asked: DataFrame, index: DataFrame, k: int, k1: float, b: float, digits: int) -> DataFrame:
     """Queries joined with the shards that they visit: first the one of the highest bound, then those that their k-th best score leaves."""
     slack = 10.0**-digits
