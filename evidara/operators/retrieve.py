@@ -5,8 +5,8 @@ triangle inequality bounds the similarity to anything in a cell; postings lie in
 a term's highest weight in a shard bounds what the shard's rules can score. A query first looks where its bound is
 highest, and then only where the bound reaches its k-th best score.
 
-The index of the rules is carried to the queries where it is small, which is measured. Else texts asked for that are few and
-small, which is measured too, are carried to the rules, of whose words only those asked for are kept; and other queries
+The index of the rules is carried to the queries where it is small, which is measured. Else queries that are few and
+small, which is measured too, are carried to the rules, of whose words only those asked for are kept; and many queries
 are joined with the cells or shards that they visit, as tables.
 
 Defined cases: a null query_id or rule_id matches nothing; queries that share an id have one ranking, and rules that share
@@ -212,8 +212,9 @@ class Carried:
 def vector_top_k(queries: DataFrame, rules: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """Cosine similarity of queries(query_id, embedding) and rules(rule_id, embedding), rounded, a query never meeting a rule of its own id."""
     asked, units = _units(queries, "query_id"), _units(rules, "rule_id")
-    if _bytes(rules, 8 * F.size("embedding") + 16) > SMALL:
-        return _joined_cells(cut(asked), cut(units), k, digits)
+    size = 8 * F.size("embedding") + 16
+    if _bytes(rules, size) > SMALL:
+        return _met_by_all(asked, units, k, digits) if _few(queries, size) else _joined_cells(cut(asked), cut(units), k, digits)
     carried = units.sparkSession.sparkContext.broadcast(Carried(units.toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +227,26 @@ def vector_top_k(queries: DataFrame, rules: DataFrame, k: int, digits: int = 6)
     return ranked(asked.mapInArrow(run, HIT), k)
 
 
+def _met_by_all(asked: DataFrame, units: DataFrame, k: int, digits: int) -> DataFrame:
+    """Few queries, carried to the rules; each task of rules gives its k best for each of them."""
+    carried = units.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims, found = carried.value["dim"].to_numpy(), {}
+        for dim in np.unique(dims).tolist():
+            own = carried.value.filter(pa.array(dims == dim))
+            found[dim] = Best(own["id"].to_numpy(), k), _matrix(own["x"], dim)
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            for dim in set(np.unique(dims).tolist()) & set(found):
+                own, (best, q) = b.filter(pa.array(dims == dim)), found[dim]
+                _similar(best.ids, q, own.column("id").to_numpy(), _matrix(own.column("x"), dim), best, np.arange(len(q)), digits)
+        for best, _ in found.values():
+            yield best.table()
+
+    return ranked(units.mapInArrow(run, HIT), k)
+
+
 def _joined_cells(asked: DataFrame, units: DataFrame, k: int, digits: int) -> DataFrame:
     """Queries joined with the cells that they visit: first the likeliest, then those that their k-th best score leaves."""
     # as many rows as the parameter says, those whose ids hash lowest

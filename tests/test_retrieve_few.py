@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from evidara.operators import retrieve
 
 from . import test_retrieve
-from .test_retrieve import bag, plain_words
+from .test_retrieve import bag, plain_vectors, plain_words
+
+
+def test_many_queries_meet_the_cells_of_many_vectors(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "FEW", 0)
+    test_retrieve.test_vectors_equal_plain_python(spark, monkeypatch, 0)
 
 
 def test_many_queries_meet_the_shards_of_many_words(spark, monkeypatch):
@@ -28,6 +33,10 @@ def test_few_queries_equal_plain_python_however_little_is_held(spark, monkeypatc
     assert bag(retrieve.keyword_top_k(q, x, 4)) == plain_words(queries, rules, 4)
     none = spark.createDataFrame([(1, "nowhere"), (2, None)], "query_id long, text string")
     assert retrieve.keyword_top_k(none, x, 4).count() == 0
+    r = np.random.default_rng(4)
+    rules, queries = ([(k, r.integers(-2, 3, 3).astype(float).tolist()) for k in range(n)] for n in (120, 9))
+    x, q = spark.createDataFrame(rules, "rule_id long, embedding array<double>"), spark.createDataFrame(queries, "query_id long, embedding array<double>")
+    assert bag(retrieve.vector_top_k(q, x, 5)) == plain_vectors(queries, rules, 5)
 
 
 def test_few_queries_build_no_index_of_all_words_and_move_no_rules(spark, monkeypatch, tmp_path):
@@ -37,7 +46,7 @@ def test_few_queries_build_no_index_of_all_words_and_move_no_rules(spark, monkey
     monkeypatch.setattr(retrieve, "cut", lambda df: kept.append(cut(df)) or kept[-1])
     rules = spark.range(400).select(F.col("id").alias("rule_id"), F.concat(F.lit("common other "), F.col("id")).alias("text"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
     q = spark.createDataFrame([(7, "common 9", [1.0, 3.0])], "query_id long, text string, embedding array<double>")
-    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (retrieve.keyword_top_k(q, rules, 3),)]
+    plans = [d._jdf.queryExecution().executedPlan().toString() for d in (retrieve.keyword_top_k(q, rules, 3), retrieve.vector_top_k(q, rules, 3))]
     assert all("CoGroup" not in p and "Join" not in p and p.count("Exchange") == 1 for p in plans)
     assert len(kept) == 1 and kept[0].agg(F.sum(F.size("terms"))).first()[0] == 401
 
